@@ -1,0 +1,29 @@
+"""The registered queries of this subpackage and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from backtrail.llm import bpe
+from backtrail.llm.common import table
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op9_bpe": op9_bpe}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
