@@ -28,8 +28,8 @@ PIECES_KEPT = 300_000
 LONG_PIECE = 64
 _NONE = np.iinfo(np.int64).max
 #: Code points that str.split() takes for white space and the tokenizer's patterns don't.
-_ODD_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+_SPACE = regex.compile("[" + "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "]+")
 
 
 @lru_cache(maxsize=1)

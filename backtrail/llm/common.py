@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a Python worker; bounds the Python objects alive beside one Arrow batch.
 SLICE_ROWS = 256
@@ -46,9 +48,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     ``make()`` runs once in each task and returns ``f(*lists)``, which gets one list for each input column and
     returns one list for each output column; it may return more or fewer rows than it got.
     """
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], schema)
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in empty.schema.fields])
+    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -61,6 +61,19 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def column(returns: str, make: Callable[[], Callable[[list], list]], text: Column) -> Column:
+    """A column computed from one other column by ``make()(values)``, a slice of rows at a time; runs through Arrow."""
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f, kind = make(), _arrow_type(StructType.fromDDL(f"x {returns}")["x"].dataType)
+        for batch in batches:
+            parts = [pa.array(f(batch.slice(at, SLICE_ROWS).to_pylist()), type=kind) for at in range(0, len(batch), SLICE_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    return run(text)
+
+
 def _arrow_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

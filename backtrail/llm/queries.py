@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backtrail.llm import bpe
+from backtrail.llm import bpe, decontam, media_mpeg, wordpiece
 from backtrail.llm.common import table
 
 
@@ -16,13 +16,28 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as an MPEG audio stream, read back and measured."""
+    return media_mpeg.digests(media_mpeg.store(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that each document holds, with up to 5 % edits."""
+    return decontam.match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {f.__name__: f for f in (op4_media, op6_token_counts, op7_decontamination, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
