@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backtrail.llm import bpe, decontam, media_mpeg, wordpiece
+from backtrail.llm import bpe, decontam, media_mpeg, minhash, wordpiece
 from backtrail.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_mpeg.digests(media_mpeg.store(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 2-word shingles are at least 80 % alike."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     return wordpiece.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
@@ -37,7 +42,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media, op6_token_counts, op7_decontamination, op9_bpe)}
+    return {f.__name__: f for f in (op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
