@@ -30,6 +30,7 @@ from backtrail.llm.components import components
 
 ROWS, BANDS = 5, 36
 PERCENT = 80
+TASK_DOCS = 128  # documents in a block of comparisons, about
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,14 +98,6 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """100 * intersection >= percent * union, of sorted sets without repeats."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def document_sets(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n set size, d1, d2 digest of the set, bands) of every document; digests and bands of empty sets are null."""
 
@@ -124,27 +117,49 @@ def document_sets(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS)
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>", lambda: f)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose documents' full sets are similar enough. texts is a written table (doc_id, text)."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, distance) with the Jaccard distance of the full sets of each of the pairs (a, b, task).
+
+    texts is a written table (doc_id, text). All pairs of one task are compared in one place, to which each document's
+    text is sent once, however many pairs it is in; so tasks must be small, and should share documents.
+    """
+    ends = pairs.select("task", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = ends.join(texts, "doc_id").select("task", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    rows = sent.unionAll(pairs.select("task", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first(), "a")
 
     def make():
-        last: list = [None, None]  # rows of one a come one after the other
-
-        def f(a, b, text_a, text_b):
-            sets = shingle_sets(text_b, k)
-            keep = []
-            for i, x in enumerate(a):
-                if last[0] != x:
-                    last[:] = x, shingle_sets([text_a[i]], k)[0]
-                if similar(last[1], sets[i], percent):
-                    keep.append(i)
-            return [a[i] for i in keep], [b[i] for i in keep]
+        task, sets = None, {}
+
+        def f(tasks, a, b, text):
+            nonlocal task, sets
+            out: tuple[list, list, list] = ([], [], [])
+            i = 0
+            while i < len(tasks):
+                if tasks[i] != task:
+                    task, sets = tasks[i], {}
+                if b[i] is None:
+                    j = i
+                    while j < len(tasks) and tasks[j] == task and b[j] is None:
+                        j += 1
+                    sets.update(zip(a[i:j], shingle_sets(text[i:j], k), strict=True))
+                    i = j
+                    continue
+                x, y = sets[a[i]], sets[b[i]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                for o, v in zip(out, (a[i], b[i], 1 - both / (len(x) + len(y) - both)), strict=True):
+                    o.append(v)
+                i += 1
+            return out
 
         return f
 
-    return map_rows(two, ["a", "b", "text_a", "text_b"], "a bigint, b bigint", make)
+    return map_rows(rows, ["task", "a", "b", "text"], "a bigint, b bigint, distance double", make)
+
+
+def linked_by(compared: DataFrame, percent: int) -> DataFrame:
+    """Rounding can't matter: distances of such sets that differ at all from the limit do so by far more than 1e-12."""
+    return compared.where(F.col("distance") <= 1 - percent / 100 + 1e-12).select("a", "b")
 
 
 def near(n: str, m: str, percent: int):
@@ -163,14 +178,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
     hubs = materialise(buckets.groupBy("key").agg(F.min_by("n", "rep").alias("hub_n"), F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
     shared = materialise(buckets.join(hubs, "key"), "shared")  # (key, rep, n, hub_n, hub): buckets of several classes
 
-    star = shared.where("rep <> hub").where(near("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = materialise(shared.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")  # a table may repeat rows
-    links = materialise(confirm(star, texts, k, percent), "star")
+    star = shared.where("rep <> hub").where(near("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    star = materialise(star, "star")
+    sizes = materialise(star.groupBy("a").agg(F.count("*").alias("size")), "sizes")
+    star = star.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / TASK_DOCS))).alias("task"))
+    compared = materialise(compare(star, texts, k), "compared")
+    links = linked_by(compared, percent)
     linked = materialise(components(links), "components")
 
-    more = materialise(other_pairs(shared, linked, percent), "pairs")
-    found = materialise(confirm(more, texts, k, percent), "more")
+    more = materialise(compare(materialise(other_pairs(shared, compared, linked, percent), "pairs"), texts, k), "more")
+    found = linked_by(more, percent)
     if not found.isEmpty():
         linked = materialise(components(links.unionAll(found)), "components")
 
@@ -183,19 +202,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def other_pairs(shared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and haven't been compared with each other."""
-    placed = materialise(
-        shared.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("component")), "placed"
-    )
+def other_pairs(shared: DataFrame, compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, task) of one bucket that lie in different components and may be similar enough.
+
+    Both have been compared with the bucket's hub, and the Jaccard distance is a metric: where their distances from the
+    hub differ by more than a link may span, they can't be linked.
+    """
+    far = 1 - percent / 100 + 1e-9
+    known = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
+    placed = shared.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
+    placed = materialise(placed, "placed")
     mixed = materialise(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
-    placed = materialise(placed.join(mixed, "key"), "mixed_rows")
-    parts = materialise(placed.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")), "parts")
-    left = parts.select("key", F.col("component").alias("x"), F.col("low").alias("x_low"), F.col("high").alias("x_high"))
-    right = parts.select("key", F.col("component").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
-    meet = (100 * F.col("x_high") >= percent * F.col("y_low")) & (100 * F.col("y_high") >= percent * F.col("x_low"))
-    two = materialise(left.join(right, "key").where("x < y").where(meet).select("key", "x", "y"), "part_pairs")
-    one = placed.select("key", F.col("component").alias("x"), F.col("rep").alias("p"), F.col("n").alias("p_n"), "hub")
-    other = placed.select("key", F.col("component").alias("y"), F.col("rep").alias("q"), F.col("n").alias("q_n"))
-    pairs = two.join(one, ["key", "x"]).join(other, ["key", "y"]).where("p <> hub and q <> hub").where(near("p_n", "q_n", percent))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    placed = materialise(placed.where("rep <> hub").join(mixed, "key").join(known, ["hub", "rep"], "left"), "mixed_rows")
+
+    # documents of one hub go to blocks of a bounded size, and a task has the pairs of two blocks
+    home = placed.groupBy("rep").agg(F.min("hub").alias("home"))
+    home = materialise(home, "home")
+    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
+    block = home.join(materialise(sizes, "sizes"), "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / TASK_DOCS))).alias("block"))
+    placed = materialise(placed.join(materialise(block, "block"), "rep"), "placed")
+
+    parts = placed.groupBy("key", "component").agg(
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min(F.coalesce("distance", F.lit(0.0))).alias("d_low"), F.max(F.coalesce("distance", F.lit(1.0))).alias("d_high")
+    )
+    parts = materialise(parts, "parts")
+    x, y = (parts.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "n_low", "n_high", "d_low", "d_high"))) for side in "xy")
+    meet = (
+        (100 * F.col("x_n_high") >= percent * F.col("y_n_low")) & (100 * F.col("y_n_high") >= percent * F.col("x_n_low"))
+        & (F.col("x_d_low") - F.col("y_d_high") <= far) & (F.col("y_d_low") - F.col("x_d_high") <= far)
+    )
+    two = x.join(y, "key").where("x_component < y_component").where(meet).select("key", "x_component", "y_component")
+    two = materialise(two, "part_pairs")
+    p, q = (placed.select("key", F.col("component").alias(f"{side}_component"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "distance", "block"))) for side in "xy")
+    close = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= far, F.lit(True))
+    pairs = two.join(p, ["key", "x_component"]).join(q, ["key", "y_component"]).where(near("x_n", "y_n", percent)).where(close)
+    task = F.xxhash64(F.least("x_block", "y_block"), F.greatest("x_block", "y_block"))
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), task.alias("task")).distinct()
