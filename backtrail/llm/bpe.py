@@ -197,19 +197,21 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     return map_rows(df, [key, ids], f"{key} bigint, text string", make)
 
 
-def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode in one pass: (key, n_tokens, ids_sha256, decoded_sha256)."""
+def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: (key, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
 
     def make():
         bpe = load(vocabulary)
 
         def f(keys, texts):
             encoded = bpe.encode_all([t or "" for t in texts])
-            n = [len(x) // 4 for x in encoded]
+            ids = [np.frombuffer(x, dtype="<u4") for x in encoded]
+            n = [len(x) for x in ids]
             a = [hashlib.sha256(x).hexdigest() for x in encoded]
-            b = [hashlib.sha256(bpe.decode(np.frombuffer(x, dtype="<u4").tolist()).encode()).hexdigest() for x in encoded]
-            return keys, n, a, b
+            b = [hashlib.sha256(bpe.decode(x.tolist()).encode()).hexdigest() for x in ids]
+            return (keys, n, a, b, [x.astype(np.int32) for x in ids]) if with_ids else (keys, n, a, b)
 
         return f
 
-    return map_rows(df, [key, text], f"{key} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    schema = f"{key} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(df, [key, text], schema, make)

@@ -64,9 +64,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 def column(returns: str, make: Callable[[], Callable[[list], list]], text: Column) -> Column:
     """A column computed from one other column by ``make()(values)``, a slice of rows at a time; runs through Arrow."""
 
+    kind = _arrow_type(StructType.fromDDL(f"x {returns}")["x"].dataType)
+
     @F.arrow_udf(returns)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        f, kind = make(), _arrow_type(StructType.fromDDL(f"x {returns}")["x"].dataType)
+        f = make()
         for batch in batches:
             parts = [pa.array(f(batch.slice(at, SLICE_ROWS).to_pylist()), type=kind) for at in range(0, len(batch), SLICE_ROWS)]
             yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)

@@ -202,6 +202,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The documents with all their columns, one of each group of near-copies: the one with the smallest doc_id. Of rows
+    that repeat a doc_id one stays; documents with a null doc_id all stay."""
+    dropped = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionAll(docs.where("doc_id is null"))
+
+
 def other_pairs(shared: DataFrame, compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, task) of one bucket that lie in different components and may be similar enough.
 

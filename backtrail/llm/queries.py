@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, decontam, media_mpeg, minhash, wordpiece
+from backtrail.llm import bpe, decontam, language_id, media_mpeg, minhash, quality_fm, wordpiece
 from backtrail.llm.common import table
 
 
@@ -16,6 +17,21 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = docs.select("doc_id", (language_id.fold(4) == 2).alias("held_out"), language_id.identify(F.col("text"), language_id.fit(docs)).alias("x"))
+    return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = docs.select("doc_id", (quality_fm.fold(3) == 1).alias("held_out"), quality_fm.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored as an MPEG audio stream, read back and measured."""
     return media_mpeg.digests(media_mpeg.store(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -41,8 +57,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe)}
+    found = (op2_language_id, op3_quality, op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
