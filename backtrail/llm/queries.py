@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, decontam, language_id, media_mpeg, minhash, quality_fm, wordpiece
+from backtrail.llm import bpe, decontam, html_tree, language_id, media_mpeg, minhash, quality_fm, url_filter, wordpiece
 from backtrail.llm.common import table
 
 
@@ -17,6 +17,45 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
+#: Domains that no rule speaks of, blocked with all their subdomains.
+BLOCKED_DOMAINS = [f"{name}.example.{tld}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org")]
+
+OP1_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
+  END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    listed = spark.createDataFrame([(d,) for d in BLOCKED_DOMAINS], "key string")
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES, listed)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -57,6 +96,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_tree.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+#: The test pages have one article, whose inline elements stand at blocks' edges; so the article's text can be had by patterns.
+OP10_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(t, '&amp([^;a-zA-Z]|$)', '&amp;\1', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a),
+s AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM s
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -65,9 +118,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op3_quality, op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe, pipeline)
+    found = (op1_url_filter, op2_language_id, op3_quality, op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe, op10_html, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL, "op10_html": OP10_SQL}
