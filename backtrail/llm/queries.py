@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import bpe, decontam, html_tree, language_id, media_mpeg, minhash, quality_fm, url_filter, wordpiece
+from backtrail.llm import bpe, chat_hmm, decontam, html_tree, language_id, media_mpeg, minhash, quality_fm, url_filter, wordpiece
 from backtrail.llm.common import table
 
 
@@ -91,6 +91,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role and the canonical rendering of every message, found without its role."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat_hmm.parse(rows, chat_hmm.fit(rows))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
@@ -118,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_language_id, op3_quality, op4_media, op5_minhash, op6_token_counts, op7_decontamination, op9_bpe, op10_html, pipeline)
+    found = (op1_url_filter, op2_language_id, op3_quality, op4_media, op5_minhash, op6_token_counts, op7_decontamination, op8_chat, op9_bpe, op10_html, pipeline)
     return {f.__name__: f for f in found}
 
 
