@@ -9,7 +9,7 @@ How the work stays linear where a third of all documents are copies:
   * documents with equal sets are one class from the start; only its smallest doc_id takes part further;
   * in a bucket (an equal band) each class is compared with the bucket's smallest class only;
   * then linked classes are contracted, and only buckets that still hold several components are looked at again: there,
-    and only between different components, the remaining pairs are compared, so no link is lost.
+    and only between different components, blocks of documents are compared with each other, so no link is lost.
 Sets enter as 64-bit hashes of shingles. A link at similarity 0.8 shares no band with a probability of
 (1 - 0.8^ROWS)^BANDS, 6e-7.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ def document_sets(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS)
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>", lambda: f)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, distance) with the Jaccard distance of the full sets of each of the pairs (a, b, task).
+def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, task) whose full sets are similar enough.
 
     texts is a written table (doc_id, text). All pairs of one task are compared in one place, to which each document's
     text is sent once, however many pairs it is in; so tasks must be small, and should share documents.
@@ -133,7 +134,7 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
         def f(tasks, a, b, text):
             nonlocal task, sets
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list] = ([], [])
             i = 0
             while i < len(tasks):
                 if tasks[i] != task:
@@ -147,19 +148,15 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     continue
                 x, y = sets[a[i]], sets[b[i]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                for o, v in zip(out, (a[i], b[i], 1 - both / (len(x) + len(y) - both)), strict=True):
-                    o.append(v)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out[0].append(a[i])
+                    out[1].append(b[i])
                 i += 1
             return out
 
         return f
 
-    return map_rows(rows, ["task", "a", "b", "text"], "a bigint, b bigint, distance double", make)
-
-
-def linked_by(compared: DataFrame, percent: int) -> DataFrame:
-    """Rounding can't matter: distances of such sets that differ at all from the limit do so by far more than 1e-12."""
-    return compared.where(F.col("distance") <= 1 - percent / 100 + 1e-12).select("a", "b")
+    return map_rows(rows, ["task", "a", "b", "text"], "a bigint, b bigint", make)
 
 
 def near(n: str, m: str, percent: int):
@@ -184,12 +181,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
     star = materialise(star, "star")
     sizes = materialise(star.groupBy("a").agg(F.count("*").alias("size")), "sizes")
     star = star.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / TASK_DOCS))).alias("task"))
-    compared = materialise(compare(star, texts, k), "compared")
-    links = linked_by(compared, percent)
+    links = materialise(compare(star, texts, k, percent), "links")
     linked = materialise(components(links), "components")
 
-    more = materialise(compare(materialise(other_pairs(shared, compared, linked, percent), "pairs"), texts, k), "more")
-    found = linked_by(more, percent)
+    found = materialise(other_links(shared, linked, texts, k, percent), "more")
     if not found.isEmpty():
         linked = materialise(components(links.unionAll(found)), "components")
 
@@ -210,39 +205,65 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFram
     return named.select(docs.columns).unionAll(docs.where("doc_id is null"))
 
 
-def other_pairs(shared: DataFrame, compared: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, task) of one bucket that lie in different components and may be similar enough.
+def other_links(shared: DataFrame, linked: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of one bucket that lie in different components and weren't compared with each other.
 
-    Both have been compared with the bucket's hub, and the Jaccard distance is a metric: where their distances from the
-    hub differ by more than a link may span, they can't be linked.
+    Documents go to blocks of a bounded size: large components have blocks of their own, all others of a hub share some.
+    Two blocks that meet in a bucket are one task; a block of one component needs no comparison in itself. A task counts
+    all its intersections at once, so pairs are never written out, and a document is sent once to each task.
     """
-    far = 1 - percent / 100 + 1e-9
-    known = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
-    placed = shared.join(linked, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
-    placed = materialise(placed, "placed")
+    placed = shared.where("rep <> hub").join(linked, F.col("rep") == F.col("node"), "left")
+    placed = materialise(placed.select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("component")), "placed")
     mixed = materialise(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
-    placed = materialise(placed.where("rep <> hub").join(mixed, "key").join(known, ["hub", "rep"], "left"), "mixed_rows")
-
-    # documents of one hub go to blocks of a bounded size, and a task has the pairs of two blocks
-    home = placed.groupBy("rep").agg(F.min("hub").alias("home"))
-    home = materialise(home, "home")
-    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
-    block = home.join(materialise(sizes, "sizes"), "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / TASK_DOCS))).alias("block"))
-    placed = materialise(placed.join(materialise(block, "block"), "rep"), "placed")
-
-    parts = placed.groupBy("key", "component").agg(
-        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min(F.coalesce("distance", F.lit(0.0))).alias("d_low"), F.max(F.coalesce("distance", F.lit(1.0))).alias("d_high")
-    )
-    parts = materialise(parts, "parts")
-    x, y = (parts.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("component", "n_low", "n_high", "d_low", "d_high"))) for side in "xy")
-    meet = (
-        (100 * F.col("x_n_high") >= percent * F.col("y_n_low")) & (100 * F.col("y_n_high") >= percent * F.col("x_n_low"))
-        & (F.col("x_d_low") - F.col("y_d_high") <= far) & (F.col("y_d_low") - F.col("x_d_high") <= far)
+    placed = materialise(placed.join(mixed, "key"), "mixed_rows")
+
+    home = materialise(placed.groupBy("rep", "component").agg(F.min("hub").alias("home")), "home")
+    sizes = home.groupBy("home", "component").agg(F.count("*").alias("size"))
+    sizes = materialise(sizes.withColumn("large", F.col("size") >= TASK_DOCS), "sizes")
+    rest = materialise(sizes.groupBy("home").agg(F.sum(F.when(~F.col("large"), F.col("size"))).alias("rest")), "rest")
+    sizes = materialise(sizes.join(rest, "home"), "all_sizes")
+    own = F.pmod(F.xxhash64("rep"), F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("rest")) / TASK_DOCS))
+    pure = F.when(F.col("large"), F.col("component"))
+    blocks = home.join(sizes, ["home", "component"]).select("rep", "component", pure.alias("pure"), F.xxhash64("home", F.coalesce(pure, F.lit(-1)), own).alias("block"))
+    blocks = materialise(blocks, "blocks")
+
+    met = placed.select("key", "rep", "n").join(blocks, "rep").groupBy("key", "block", "pure").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = materialise(met, "met")
+    x, y = (met.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "pure", "low", "high"))) for side in "xy")
+    may = (
+        (F.col("x_block") <= F.col("y_block")) & F.coalesce(F.col("x_pure") != F.col("y_pure"), F.lit(True))
+        & (100 * F.col("x_high") >= percent * F.col("y_low")) & (100 * F.col("y_high") >= percent * F.col("x_low"))
     )
-    two = x.join(y, "key").where("x_component < y_component").where(meet).select("key", "x_component", "y_component")
-    two = materialise(two, "part_pairs")
-    p, q = (placed.select("key", F.col("component").alias(f"{side}_component"), *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "distance", "block"))) for side in "xy")
-    close = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= far, F.lit(True))
-    pairs = two.join(p, ["key", "x_component"]).join(q, ["key", "y_component"]).where(near("x_n", "y_n", percent)).where(close)
-    task = F.xxhash64(F.least("x_block", "y_block"), F.greatest("x_block", "y_block"))
-    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), task.alias("task")).distinct()
+    tasks = materialise(x.join(y, "key").where(may).select("x_block", "y_block").distinct(), "tasks")
+    ends = tasks.select(F.xxhash64("x_block", "y_block").alias("task"), F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("block"))
+    sent = ends.join(blocks.select("block", "rep", "component"), "block")
+    sent = sent.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("task", "block", "rep", "component", "text")
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, component, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
+        sets = shingle_sets(rows["text"].to_pylist(), k)
+        a, b = linked_pairs(sets, component, block, percent)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    return sent.groupBy("task").applyInArrow(run, "a bigint, b bigint")
+
+
+def linked_pairs(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of similar sets of different components; if there are two blocks, only pairs across them."""
+    n = np.array([len(s) for s in sets])
+    names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = times[column] > 1  # the rest can't be in two sets
+    kept, place = np.unique(column[shared], return_inverse=True)
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, len(kept), 4096):  # bounds the matrix
+        inside = (place >= at) & (place < at + 4096)
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[row[shared][inside], place[inside] - at] = 1
+        both += has @ has.T
+    alike = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    alike &= component[:, None] != component[None, :]
+    if (block != block[0]).any():
+        alike &= block[:, None] != block[None, :]
+    a, b = np.nonzero(np.triu(alike, 1))
+    return a, b
