@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL = F.lit(None).cast("string")
-
 # What a compare and a branch taken say, and the opposites.
 COMPARE = {
     "==": "BE BER JE BZ BZR JZ", "!=": "BNE BNER JNE BNZ JNZ", ">": "BH BHR JH BP JP", "<": "BL BLR JL BM JM", "<=": "BNH JNH BNP JNP", ">=": "BNL JNL BNM JNM",
@@ -112,7 +110,7 @@ def predicate(test: Column, args: Column, branch: Column, taken: Column) -> Colu
     """What holds after a test and a branch."""
     a0, a1 = F.coalesce(F.try_element_at(args, F.lit(1)), F.lit("?")), F.coalesce(F.try_element_at(args, F.lit(2)), F.lit("0"))
     shape = lookup(branch, {w: k for k in MASK for w in k.split()})
-    under_mask = NULL
+    under_mask = F.lit(None).cast("string")
     for k, (yes, no) in MASK.items():
         fill = lambda t: F.regexp_replace(F.regexp_replace(F.lit(t), r"\{0\}", "\u0001"), r"\{1\}", "\u0002")
         text = F.when(taken, fill(yes)).otherwise(fill(no))
@@ -186,7 +184,7 @@ def definitions(text: Column) -> Column:
 
 def link_aliases(text: Column) -> Column:
     """Array of struct(fn, entry) of pragma maps, then of asm labels, in lower case; fn <> entry."""
-    pragma, label_ = r"(?i)#pragma\s+map\s*\(\s*(\w+)\s*,\s*\"(\w+)\"\s*\)", r"(?i)\b(\w+)\s*\([^;{]*\)\s*(?:__)?asm(?:__)?\s*\(\s*\"(\w+)\"\s*\)"
+    pragma, label_ = r"(?i)#pragma\s+map\s*\(\s*(\w+)\s*,\s*\"(\w+)\"\s*\)", r"(?i)\b(\w+)\s*\([^;{}()]*\)\s*(?:__)?asm(?:__)?\s*\(\s*\"(\w+)\"\s*\)"
     pair = lambda rx: F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), F.lit(1)).alias("fn"), F.regexp_extract_all(text, F.lit(rx), F.lit(2)).alias("entry"))
     both = F.concat(pair(pragma), pair(label_))
     lower = F.transform(both, lambda x: F.struct(F.lower(x["fn"]).alias("fn"), F.lower(x["entry"]).alias("entry")))

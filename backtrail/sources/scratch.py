@@ -5,7 +5,8 @@ from __future__ import annotations
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,3 +28,10 @@ def keep(df: DataFrame, name: str = "table") -> DataFrame:
     path = posixpath.join(scratch_root(df.sparkSession), f"step-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """keep(), and the number of rows, which the same job counts."""
+    seen = Observation()
+    out = keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
