@@ -305,7 +305,7 @@ class Composer:
             self.out.append(f'<label>{self.words(1, 3)}</label><input name="q"><button>{self.words(1, 2)}</button>'.replace("<button>", "").replace("</button>", ""))
         elif tag == "section" or style < 0.45:
             for _ in range(r.randint(1, 4)):
-                inner = r.choice(["div", "article", "li", "p"])
+                inner = r.choice(["div", "div", "div", "li", "li", "p", "p", "article"])
                 self.open(inner, r.choice(["comment", "", "item", "reply"]) if inner != "p" else "")
                 self.out.append(self.words(3, 40)) if inner == "p" else self.block("p", self.words(3, 60))
                 self.close(inner)
@@ -320,7 +320,7 @@ class Composer:
 
     def article(self) -> None:
         r = self.random
-        tag = r.choice(["article", "article", "main", "div", "div", "div"])
+        tag = r.choice(["article", "article", "article", "main", "div", "div", "div"])
         self.open(tag, r.choice(CONTENT_NAMES) if tag == "div" or r.random() < 0.3 else "", True)
         if r.random() < 0.7:
             self.block("h1", self.words(2, 10), True)
@@ -330,7 +330,7 @@ class Composer:
         for _ in range(r.randint(1, 12)):
             style = r.random()
             if style < 0.70:
-                text = self.words(1, r.choice([6, 25, 90]))
+                text = self.words(1, r.choice([3, 6, 25, 90]))
                 self.block("p", text if r.random() < 0.75 else f'{text} <a href="/y">{self.words(1, 4)}</a> {self.words(1, 9)}', True)
             elif style < 0.78:
                 self.block(r.choice(["h2", "h3"]), self.words(1, 8), True)
@@ -353,7 +353,7 @@ class Composer:
 
     def page(self) -> tuple[str, set[int]]:
         r = self.random
-        if r.random() < 0.05:  # a bare fragment: its text is all there is
+        if r.random() < 0.08:  # a bare fragment: its text is all there is
             self.content.add(0)
             self.out.append(self.words(2, 60))
             for _ in range(r.randint(0, 4)):
@@ -361,12 +361,13 @@ class Composer:
             return "".join(self.out), self.content
         self.out.append("<!DOCTYPE html>")
         wrapped = r.random() < 0.3
-        self.open("html", "", False)
-        self.open("head")
-        self.out.append("<title>x</title>")
-        self.close("head")
-        self.open("body")
-        for tag in r.sample(["header", "nav", "div", "div", "form"], r.randint(1, 4)):
+        if r.random() < 0.85:  # their tags may be left out
+            self.open("html", "", False)
+            self.open("head")
+            self.out.append("<title>x</title>")
+            self.close("head")
+            self.open("body")
+        for tag in r.sample(["header", "nav", "div", "div", "form"], r.randint(0, 4)):
             self.fringe(tag)
         if wrapped:
             self.open("div", r.choice(["wrapper", "container", "page", "layout", ""]))
@@ -379,7 +380,7 @@ class Composer:
             self.close("div")
         if r.random() < 0.9:
             self.fringe("footer")
-        self.out.append("</body></html>")
+        self.out.append("</body></html>")  # without start tags these are passed over
         return "".join(self.out), self.content
 
 
