@@ -6,23 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trigger_pairs(flow: DataFrame) -> DataFrame:
+#: Lines of one stretch. Ordered operators work on stretches, so no task must hold a whole file however long it is.
+STRETCH = 8192
+
+
+def trigger_pairs(flow: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Flow (block, line, kind) to (block, trigger_line, line): a conditional branch C right behind a trigger T, once
-    all but triggers, conditional and unconditional (U) branches are left out."""
-    w = Window.partitionBy("block").orderBy("line")
-    rows = flow.where(F.col("kind").isin("T", "C", "U")).withColumn("last", F.lag("kind").over(w)).withColumn("trigger_line", F.lag("line").over(w))
-    return rows.where("kind = 'C' and last = 'T'").select("block", "trigger_line", "line")
+    all but triggers, conditional and unconditional (U) branches are left out.
+
+    The row before a stretch's first one is the last of the stretch before: only these last rows are ordered for a block.
+    """
+    rows = flow.where(F.col("kind").isin("T", "C", "U")).withColumn("stretch", F.floor(F.col("line") / stretch))
+    ends = rows.groupBy("block", "stretch").agg(F.max(F.struct("line", "kind")).alias("end"))
+    before = ends.select("block", "stretch", F.lag("end").over(Window.partitionBy("block").orderBy("stretch")).alias("before"))
+    w = Window.partitionBy("block", "stretch").orderBy("line")
+    paired = rows.withColumn("last", F.lag(F.struct("line", "kind")).over(w)).join(before, ["block", "stretch"])
+    last = F.coalesce("last", "before")
+    return paired.where("kind = 'C'").where(last["kind"] == "T").select("block", last["line"].alias("trigger_line"), "line")
 
 
-def owning_function(lines: DataFrame, starts: DataFrame) -> DataFrame:
+def owning_function(lines: DataFrame, starts: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Lines (stem, line, ...) with fn, the function (stem, fn, start_line) that starts nearest before or at the line.
 
-    Starts and lines are sorted together once, so no range join multiplies rows.
+    Starts and lines are sorted together once, by stretches, so no range join multiplies rows; what the stretches before
+    end in is carried over.
     """
+    at = F.floor(F.col("line") / stretch).alias("stretch")
     s = starts.select("stem", F.col("start_line").alias("line"), "fn", F.lit(0).alias("side"), *(F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in lines.columns if c not in ("stem", "line")))
-    rows = s.unionByName(lines.withColumns({"fn": F.lit(None).cast("string"), "side": F.lit(1)}))
-    w = Window.partitionBy("stem").orderBy("line", "side", "fn").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("fn", F.last("fn", True).over(w)).where("side = 1").drop("side")
+    rows = s.unionByName(lines.withColumns({"fn": F.lit(None).cast("string"), "side": F.lit(1)})).withColumn("stretch", at)
+    ends = rows.groupBy("stem", "stretch").agg(F.max(F.when(F.col("side") == 0, F.struct("line", "fn")))["fn"].alias("end"))
+    before = Window.partitionBy("stem").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("stem", "stretch", F.last("end", True).over(before).alias("carried"))
+    w = Window.partitionBy("stem", "stretch").orderBy("line", "side", "fn").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("fn", F.last("fn", True).over(w)).where("side = 1").join(carried, ["stem", "stretch"])
+    return found.withColumn("fn", F.coalesce("fn", "carried")).drop("side", "stretch", "carried")
 
 
 def compare_line(branches: DataFrame, triggers: DataFrame) -> DataFrame:

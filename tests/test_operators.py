@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from backtrail.operators import constants, graph, guards, lineage, sequence
 
@@ -160,5 +159,17 @@ def test_empty_tables(spark):
     assert graph.reach(frame(spark, [(0,)], "node long"), empty).count() == 1
     assert graph.simple_paths(empty, 0, 3, 2).count() == 0
     assert lineage.missing_rank(frame(spark, [], "name string, linkage boolean"), 5).count() == 0
-    assert guards.not_set(frame(spark, [], "id long, setter long, line long, pos long, negated string").select(*["id", "setter", "line", "pos", "negated"])).count() == 0
-    assert F is not None
+    assert guards.not_set(frame(spark, [], "id long, setter long, line long, pos long, negated string")).count() == 0
+
+
+
+def test_stretches_change_nothing(spark):
+    random.seed(6)
+    flow = frame(spark, [(b, i, random.choice("TCUO")) for b in range(3) for i in range(200)], "block long, line long, kind string")
+    pairs = [{(r["block"], r["trigger_line"], r["line"]) for r in sequence.trigger_pairs(flow, n).collect()} for n in (7, 10_000)]
+    assert pairs[0] == pairs[1]
+    starts = frame(spark, [(s, f"f{i}", i) for s in range(3) for i in range(0, 500, 41)], "stem long, fn string, start_line long")
+    lines = frame(spark, [(s, i, i) for s in range(4) for i in range(-3, 520, 9)], "stem long, line long, id long")
+    owners = [{(r["stem"], r["id"], r["fn"]) for r in sequence.owning_function(lines, starts, n).collect()} for n in (10, 10_000)]
+    assert owners[0] == owners[1]
+    assert len(owners[0]) == lines.count()
