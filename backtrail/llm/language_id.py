@@ -35,7 +35,7 @@ _GAP = 32
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams as packed code points, counts); a word's ends count as a blank."""
     words = _WORD.findall((text or "").lower())
-    if not words:
+    if not any(any(map(str.isalpha, w)) for w in words):  # signs for numbers aren't letters
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     letter = c != _GAP
