@@ -88,3 +88,35 @@ def test_trace(spark):
     assert rows[3]["unconditional"]
     assert {(r["parent"], r["child"]) for r in got.edges.collect()} == {("V", "W"), ("W", "V")}
     assert not got.reached_depth
+
+
+def small_inputs(spark):
+    make = spark.createDataFrame
+    return trace.Inputs(
+        make([(0, 1, 5)], "src long, dst long, line long"),
+        make([(1, 1, 10, "V", "cpp", "1", False)], "id long, stem long, line long, variable string, language string, value string, is_declaration boolean"),
+        make([], "stem long, line long, seq long, text string"),
+        make([(1, "W")], "setter long, variable string"),
+    )
+
+
+def test_job(spark, tmp_path):
+    from backtrail.plans import job
+
+    opts = job.options({"chains": 2, "depth": 3, "unknown": 1, "paths": None})
+    assert (opts.chains, opts.bounds.depth, opts.bounds.paths) == (2, 3, 64)
+    done = job.run(small_inputs(spark), "V", {"cpp": [0, 0, 0], "asm": [1]}, opts)
+    assert list(done.traces) == [("cpp", 0), ("cpp", 1), ("asm", 0)]
+    assert done.warnings == ["cpp: 2 of 3 chains are traced"]
+    assert done.setters().count() == 3
+    assert {r["variable"] for r in done.terminals().collect()} == {"W"}
+    job.write(done, str(tmp_path), opts)
+    assert spark.read.json(str(tmp_path / "edges")).count() == 3
+
+
+def test_audit(spark):
+    from backtrail.plans import job
+
+    make = spark.createDataFrame
+    got = job.audit(make([("A",), ("b",)], "id string"), make([("a", "c"), ("a", "x.y")], "src string, dst string"), make([("a",)], "stem string"), make([("N", "a"), ("M", "b"), ("O", None)], "name string, stem string"))
+    assert {r["check"]: (r["n"], r["sample"]) for r in got.collect()} == {"dangling": (1, ["c"]), "no_blueprint": (1, ["b"]), "no_owner": (1, ["M"])}
