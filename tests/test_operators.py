@@ -191,3 +191,16 @@ def test_projections(spark):
     assert {(r["stem"], r["via_unverified"]) for r in found.collect()} == {("a", False), ("b", True)}
     stems = projections.reader_stems(frame(spark, [("v", "d/X.cpp")], "variable string, file string"))
     assert [tuple(r) for r in stems.collect()] == [("v", "x")]
+
+
+def test_walks_and_frontiers_agree(spark):
+    random.seed(14)
+    edges = frame(spark, [(g, random.randrange(30), random.randrange(30)) for g in range(3) for _ in range(60)], "g long, src long, dst long")
+    seeds = frame(spark, [(g, r, s) for g in range(4) for r in (3, 5) for s in (1, 3)], "g long, gone long, node long")
+    for depth in (None, 2):
+        a, b = ({tuple(r) for r in graph.reach(seeds, edges, ["g", "gone"], depth, "gone", small).collect()} for small in (10**6, 0))
+        assert a == b
+        assert len(a) > 8
+    plain = edges.drop("g")
+    a, b = ({tuple(r) for r in graph.backward(frame(spark, [(4,)], "node long"), plain, small=small).collect()} for small in (10**6, 0))
+    assert a == b
