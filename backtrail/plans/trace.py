@@ -85,7 +85,7 @@ def trace(inputs: Inputs, variable: str, tail: int, bounds: Bounds | None = None
     seeds = spark.range(1).select(F.lit(tail).cast("bigint").alias("node"))
     reachable = keep(graph.reach(seeds, inputs.calls), "reachable")
     # paths only over files that setters stand in or that lead there
-    paths = graph.simple_paths(keep(inputs.calls, "calls"), tail, bounds.path_edges, bounds.paths).select("dst", "path", "truncated")
+    paths = graph.simple_paths(keep(inputs.calls, "calls"), tail, bounds.path_edges, bounds.paths, 4 * bounds.paths).select("dst", "path", "truncated")
     paths = keep(paths.unionByName(spark.range(1).select(F.lit(tail).cast("bigint").alias("dst"), F.lpad(F.lit(str(tail)), 6, "0").alias("path"), F.lit(False).alias("truncated"))), "paths")
     names = spark.range(1).select(F.lit(variable).alias("variable"))
     seen = keep(names, "names")

@@ -204,3 +204,13 @@ def test_walks_and_frontiers_agree(spark):
     plain = edges.drop("g")
     a, b = ({tuple(r) for r in graph.backward(frame(spark, [(4,)], "node long"), plain, small=small).collect()} for small in (10**6, 0))
     assert a == b
+
+
+def test_narrow_paths_are_flagged(spark):
+    edges = frame(spark, [(a, b) for a in range(5) for b in range(5) if a != b], "src long, dst long")
+    whole = graph.simple_paths(edges, 0, 4, 100)
+    wide, narrow = graph.simple_paths(edges, 0, 4, 100, 100), graph.simple_paths(edges, 0, 4, 100, 2)
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in wide.collect()}
+    assert whole.count() == 64
+    assert 0 < narrow.count() < 64
+    assert all(r["truncated"] for r in narrow.collect())
