@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.llm import bpe, chat_hmm, decontam, html_tree, language_id, media_mpeg, minhash, quality_fm, url_filter, wordpiece
-from backtrail.llm.common import table
+from backtrail.llm.common import spread, table
 
 
 def word_bpe_path() -> str:
@@ -58,14 +58,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     found = docs.select("doc_id", (language_id.fold(4) == 2).alias("held_out"), language_id.identify(F.col("text"), language_id.fit(docs)).alias("x"))
     return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = docs.select("doc_id", (quality_fm.fold(3) == 1).alias("held_out"), quality_fm.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -73,22 +73,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored as an MPEG audio stream, read back and measured."""
-    return media_mpeg.digests(media_mpeg.store(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return media_mpeg.digests(media_mpeg.store(spread(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 2-word shingles are at least 80 % alike."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2)
+    return minhash.near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")), k=2)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
+    return wordpiece.count_tokens(spread(table(spark, sf_dir, "documents", "doc_id", "text")), word_bpe_path())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test items that each document holds, with up to 5 % edits."""
-    return decontam.match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontam.match(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents", "doc_id", "text")), word_bpe_path())
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return html_tree.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return html_tree.extract(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 #: The test pages have one article, whose inline elements stand at blocks' edges; so the article's text can be had by patterns.
