@@ -38,3 +38,7 @@ def test_all_parts_own_callees(spark):
 
 def test_all_parts_have_guards(spark):
     same(QUERIES["edge_guards"](spark, LARGER), whole("edge_guards", (" WHERE p_partkey % 9 = 0 AND p_partkey < 400", "")), LARGER)
+
+
+def test_all_texts_are_resolved(spark):
+    same(QUERIES["const_lookup"](spark, LARGER), whole("const_lookup", (" WHERE o_orderkey % 3 = 0", "")), LARGER)
