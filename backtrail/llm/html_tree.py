@@ -30,10 +30,20 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-SILENT = set("script style template noscript title head iframe object svg math audio video canvas select textarea datalist".split())
+#: Formulas and drawings stand in their block's text; spaces part the labels of a drawing and the cells of a formula.
+FOREIGN = set(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none "
+    "mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml svg g path rect circle ellipse line polyline polygon defs use symbol marker text tspan textpath "
+    "lineargradient radialgradient stop clippath mask pattern filter image desc metadata switch view animate animatemotion animatetransform set mpath foreignobject".split()
+)
+SPACED = set("text textpath desc metadata mtd annotation annotation-xml foreignobject".split())
+INLINE |= FOREIGN
+SILENT = set("script style template noscript title head iframe object audio video canvas select textarea datalist".split())
 RAW = set("script style title textarea iframe noscript template".split())
+#: What can stand in a head; any other start tag, and text, ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What a new block ends, if it stands right above.
-ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
+ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 
 class Page:
@@ -69,11 +79,19 @@ class Page:
                     self.segments.append((stack[-1], text))
                 buffer.clear()
 
+        def end_head():
+            nonlocal silent
+            while any(self.tag[i] == "head" for i in stack):
+                flush()
+                silent -= self.tag[stack.pop()] in SILENT
+
         while at < size:
             m = _TAG.search(source, at)
             text = source[at : m.start() if m else size]
             if text:
                 text = html.unescape(text) if "&" in text else text
+                if silent and text.strip():
+                    end_head()
                 buffer.append(text)
                 if links:
                     self.linked[stack[-1]] = self.linked.get(stack[-1], 0) + len(text.strip())
@@ -85,6 +103,8 @@ class Page:
                 continue
             if source[m.start() + 1] == "/":
                 if tag in INLINE:
+                    if tag in SPACED:
+                        buffer.append(" ")
                     links -= tag == "a" and links > 0
                 elif tag == "br":
                     flush()
@@ -94,7 +114,11 @@ class Page:
                         silent -= self.tag[gone] in SILENT
                     silent -= tag in SILENT
                 continue
+            if silent and tag not in IN_HEAD:
+                end_head()
             if tag in INLINE:
+                if tag in SPACED:
+                    buffer.append(" ")
                 links += tag == "a"
             elif tag in VOID:
                 if tag in ("br", "hr"):
@@ -112,10 +136,6 @@ class Page:
                 ends = ENDS.get(tag, {"p"})
                 while len(stack) > 1 and self.tag[stack[-1]] in ends:
                     stack.pop()
-                if tag == "body" and any(self.tag[i] == "head" for i in stack):
-                    while self.tag[stack.pop()] != "head":
-                        pass
-                    silent = 0
                 silent += tag in SILENT
                 self._open(tag, m[2] or "", stack)
         flush()
@@ -353,13 +373,30 @@ class Composer:
 
     def page(self) -> tuple[str, set[int]]:
         r = self.random
-        if r.random() < 0.08:  # a bare fragment: its text is all there is
+        style = r.random()
+        if style < 0.08:  # a bare fragment: its text is all there is
             self.content.add(0)
             self.out.append(self.words(2, 60))
             for _ in range(r.randint(0, 4)):
                 self.block(r.choice(["p", "p", "h1", "div"]), self.words(2, 60), True)
             return "".join(self.out), self.content
         self.out.append("<!DOCTYPE html>")
+        if style < 0.16:  # text right under body
+            self.open("html")
+            self.block("head", "<title>x</title>")
+            self.open("body", "", True)
+            for tag in r.sample(["header", "nav", "div", "form"], r.randint(0, 2)):
+                self.fringe(tag)
+            for _ in range(r.randint(1, 4)):
+                self.out.append(self.words(2, 60))
+                if r.random() < 0.5:
+                    self.block(r.choice(["p", "p", "h1", "h2"]), self.words(2, 60), True)
+                else:
+                    self.out.append("<br>")
+            if r.random() < 0.5:
+                self.fringe("footer")
+            self.out.append("</body></html>")
+            return "".join(self.out), self.content
         wrapped = r.random() < 0.3
         if r.random() < 0.85:  # their tags may be left out
             self.open("html", "", False)
