@@ -2,7 +2,8 @@
 
 Written streams are valid MPEG-1 layer III, mono, 32 kHz: an ID3v2.3 tag with the payload's length, a frame with a Xing
 header (frame and byte counts, seek table), then frames with a CRC whose side information says that no bits belong to
-the audio, so each decodes to silence and the rest of the frame is ancillary data, which carries the payload.
+the audio, so each decodes to silence and the rest of the frame is ancillary data, which carries the payload. A last frame
+carries none, so that no payload is taken for a tag at the end.
 
 The parser skips ID3v2, APE and ID3v1 tags, finds the first header that is followed by a consistent one, resynchronises
 after damage, reads Xing/Info and VBRI tables, verifies CRC-16 where a frame has one, and gives the exact duration
@@ -126,6 +127,7 @@ def write(payload: bytes) -> bytes:
         body = payload[at : at + _ROOM[i]]
         frames.append(_frame_start(i + 1) + body.ljust(_ROOM[i], b"\0"))
         at += len(body)
+    frames.append(_frame_start(1).ljust(SIZES[0], b"\0"))  # without payload, where read_tags() looks for tags at the end
     body = b"".join(frames)
     total = SIZES[4] + len(body)
     ends, at = [], SIZES[4]

@@ -2,11 +2,21 @@
 
 import pytest
 
-from backtrail.llm import html_tree
+from backtrail.llm import html_tree, media_mpeg
 
 TEXT = "These are some words of a paragraph to read, and more of them."
 
 
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX"])
+def test_payload_is_no_tag(mark):
+    # at every place of a payload in one frame, and around the end of longer ones
+    for size, places in ((64, range(56)), (128, range(120)), (1408, range(1200, 1400)), (6400, range(6200, 6392))):
+        for at in places:
+            payload = b"x" * at + mark + b"x" * (size - at - len(mark))
+            stored = media_mpeg.write(payload)
+            assert media_mpeg.payload_of(stored, media_mpeg.parse(stored)) == payload
+
+
 @pytest.mark.parametrize("start", ["<html><head><title>T</title>", "<head><meta charset=x><head>", "<html><head><style>p{}</style><body>", "<head><script>1</script><body><head>"])
 def test_head_without_end(start):
     model = html_tree.default_model()
