@@ -61,14 +61,38 @@ def targets(inputs: Inputs, names: DataFrame) -> DataFrame:
     return own.unionAll(names.join(inputs.aliases.withColumnRenamed("name", "variable"), "variable").select("variable", F.col("alias").alias("name"))).distinct()
 
 
+def call_guards(inputs: Inputs, paths: DataFrame) -> DataFrame:
+    """paths (dst, path, truncated) with via: the guards of each path's calls in order; null if none. A call that stands on
+    several lines is guarded if all of them are, by one or the other."""
+    nodes = paths.select("path", F.split("path", ">").cast("array<bigint>").alias("nodes")).where(F.size("nodes") > 1)
+    steps = nodes.select("path", "nodes", F.explode(F.sequence(F.lit(1), F.size("nodes") - 1)).alias("seq"))
+    steps = steps.select("path", "seq", F.element_at("nodes", F.col("seq")).alias("src"), F.element_at("nodes", F.col("seq") + 1).alias("dst"))
+    lines = steps.select("src", "dst").distinct().join(inputs.calls.select("src", "dst", "line").distinct(), ["src", "dst"])
+    known = inputs.guards.where("trim(text) <> ''").select(F.col("stem").alias("src"), "line", F.col("seq").alias("pos"), F.col("text").alias("guard"))
+    sites = lines.join(known, ["src", "line"], "left").select(F.struct("src", "dst").alias("hop"), F.col("line").alias("site"), "line", "guard", "pos")
+    hops = guards.or_of_sites(sites).where("guard is not null").select("hop.src", "hop.dst", F.when(F.col("guard").contains("||"), F.concat(F.lit("("), "guard", F.lit(")"))).otherwise(F.col("guard")).alias("guard"))
+    via = steps.join(hops, ["src", "dst"]).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "guard"))), lambda g: g["guard"]).alias("via"))
+    return paths.join(via, "path", "left")
+
+
+def flag_longer(calls: DataFrame, paths: DataFrame, max_edges: int) -> DataFrame:
+    """paths, where truncated also says that longer ones than max_edges may lead to that end."""
+    far = paths.where((F.size(F.split("path", ">")) > max_edges) | F.col("truncated")).select(F.col("dst").alias("src")).distinct()
+    beyond = graph.reach(calls.join(far, "src", "left_semi").select(F.col("dst").alias("node")), calls).select(F.col("node").alias("dst"), F.lit(True).alias("beyond"))
+    return paths.join(beyond, "dst", "left").withColumn("truncated", F.col("truncated") | F.coalesce("beyond", F.lit(False))).drop("beyond")
+
+
 def entries(inputs: Inputs, names: DataFrame, reachable: DataFrame, paths: DataFrame) -> DataFrame:
-    """Rows of Trace.setters, without depth, for the setters of names (variable)."""
+    """Rows of Trace.setters, without depth, for the setters of names (variable). paths come from call_guards(); a reachable
+    file has none only where a bound cut them off."""
     found = inputs.setters.withColumnRenamed("variable", "name").join(targets(inputs, names), "name").where(~F.col("is_declaration"))
     found = found.join(reachable.select(F.col("node").alias("stem")), "stem", "left_semi")
     placed = found.join(paths.withColumnRenamed("dst", "stem"), "stem", "left")
     local = found.join(inputs.guards, ["stem", "line"]).select("id", F.col("seq").alias("pos"), "text")
-    final = guards.finalise(local).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda g: g["text"]), " && ").alias("guards"))
-    out = placed.join(final, "id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    final = guards.finalise(local).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda g: g["text"]).alias("own"))
+    out = placed.join(final, "id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(True)))
+    every = F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("via", "own"))))
+    out = out.withColumn("guards", F.when(F.size(every) > 0, F.array_join(every, " && "))).drop("via", "own")
     if inputs.constants is not None:
         out = constants.look_up(out.withColumn("_name", F.col("name")).withColumn("name", F.col("value")).withColumnRenamed("value", "_value"), inputs.constants, inputs.constants)
         out = out.withColumnRenamed("value", "value_resolved").withColumnRenamed("_value", "value")
@@ -85,8 +109,10 @@ def trace(inputs: Inputs, variable: str, tail: int, bounds: Bounds | None = None
     seeds = spark.range(1).select(F.lit(tail).cast("bigint").alias("node"))
     reachable = keep(graph.reach(seeds, inputs.calls), "reachable")
     # paths only over files that setters stand in or that lead there
-    paths = graph.simple_paths(keep(inputs.calls, "calls"), tail, bounds.path_edges, bounds.paths, 4 * bounds.paths).select("dst", "path", "truncated")
+    calls = keep(inputs.calls, "calls")
+    paths = graph.simple_paths(calls, tail, bounds.path_edges, bounds.paths, 4 * bounds.paths).select("dst", "path", "truncated")
     paths = keep(paths.unionByName(spark.range(1).select(F.lit(tail).cast("bigint").alias("dst"), F.lpad(F.lit(str(tail)), 6, "0").alias("path"), F.lit(False).alias("truncated"))), "paths")
+    paths = keep(call_guards(inputs, flag_longer(calls, paths, bounds.path_edges)), "paths")
     names = spark.range(1).select(F.lit(variable).alias("variable"))
     seen = keep(names, "names")
     rows, edges, depth, more = None, None, 0, True
