@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Calls between files with numbers of more than six digits.
+FAR_CALLS = [(0, 1234561, 11), (0, 1234562, 12), (1234561, 1234562, 13), (1234562, 12345678901, 14)]
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -26,7 +30,13 @@ class Fixtures:
         dst = F.col("l_partkey") % self.n
         rows = self.table("lineitem").select(F.col("l_suppkey").alias("src"), dst.alias("dst"), F.col("l_orderkey"), (10 * F.col("l_linenumber") + F.col("l_orderkey") % 10).alias("line"))
         rows = rows.where((F.col("dst") - F.col("src")).between(1, 5) | ((F.col("dst") < F.col("src")) & (F.col("l_orderkey") % 97 == 0)))
-        return rows.groupBy("src", "dst").agg(F.min("line").alias("line"))
+        far = self.spark.createDataFrame(FAR_CALLS, "src bigint, dst bigint, line bigint")
+        return rows.groupBy("src", "dst").agg(F.min("line").alias("line")).unionAll(far)
+
+    def call_with_gaps(self) -> DataFrame:
+        """call(), and rows that lack an end."""
+        gaps = self.spark.createDataFrame([(None, 1, 1), (0, None, 1)], "src bigint, dst bigint, line bigint")
+        return self.call().unionAll(gaps)
 
     def setter(self) -> DataFrame:
         """(stem, line, variable, value): assignments."""
@@ -45,7 +55,9 @@ class Fixtures:
 SQL = """fx_n AS (SELECT count(*) AS n FROM supplier),
 fx_call AS (
   SELECT l_suppkey AS src, l_partkey % n AS dst, min(10 * l_linenumber + l_orderkey % 10) AS line FROM lineitem, fx_n
-  WHERE (l_partkey % n - l_suppkey) BETWEEN 1 AND 5 OR (l_partkey % n < l_suppkey AND l_orderkey % 97 = 0) GROUP BY 1, 2),
+  WHERE (l_partkey % n - l_suppkey) BETWEEN 1 AND 5 OR (l_partkey % n < l_suppkey AND l_orderkey % 97 = 0) GROUP BY 1, 2
+  UNION ALL VALUES (0, 1234561, 11), (0, 1234562, 12), (1234561, 1234562, 13), (1234562, 12345678901, 14)),
+fx_gaps AS (SELECT * FROM fx_call UNION ALL VALUES (NULL, 1, 1), (0, NULL, 1)),
 fx_setter AS (SELECT o_custkey % n AS stem, o_orderkey AS line, o_orderpriority AS variable, o_orderstatus AS value FROM orders, fx_n),
 fx_flow AS (SELECT user_id AS block, event_id AS line, CASE WHEN event_type IN ('click', 'view') THEN 'T' WHEN event_type = 'purchase' THEN 'C'
   WHEN event_type = 'error' THEN 'U' ELSE 'O' END AS kind FROM events),

@@ -46,10 +46,10 @@ def sql_case(expression: str, values: list[str]) -> str:
 # --- graph ---
 
 
-@query(", r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM fx_call JOIN r ON src = node) SELECT node AS stem FROM r", True)
+@query(", r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM fx_gaps JOIN r ON src = node WHERE dst IS NOT NULL) SELECT node AS stem FROM r", True)
 def reachable_files(fx):
     """G2, U-1: files that file 0 can reach."""
-    return graph.reach(nodes(fx, 0), fx.call()).select(F.col("node").alias("stem"))
+    return graph.reach(nodes(fx, 0), fx.call_with_gaps()).select(F.col("node").alias("stem"))
 
 
 @query(
@@ -65,28 +65,28 @@ def reachable_setters(fx):
 
 
 @query(
-    """, r(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT src, depth + 1 FROM fx_call JOIN r ON dst = node WHERE depth < 30)
+    """, r(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT src, depth + 1 FROM fx_gaps JOIN r ON dst = node WHERE depth < 30 AND src IS NOT NULL)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""",
     True,
 )
 def backward_depth(fx):
     """Files that can reach file 3, and their least distance, up to 30."""
-    return graph.backward(nodes(fx, 3), fx.call(), max_depth=30)
+    return graph.backward(nodes(fx, 3), fx.call_with_gaps(), max_depth=30)
 
 
 @query(
-    """, p(dst, nodes) AS (SELECT dst, [src, dst] FROM fx_call WHERE src = 0 AND dst <> 0
-  UNION ALL SELECT c.dst, list_append(nodes, c.dst) FROM fx_call c JOIN p ON c.src = p.dst WHERE len(nodes) < 5 AND NOT list_contains(nodes, c.dst)),
-t AS (SELECT dst, array_to_string(list_transform(nodes, lambda x: lpad(CAST(x AS VARCHAR), 6, '0')), '>') AS path, len(nodes) - 1 AS hops FROM p)
-SELECT dst, path, CAST(hops AS INT) AS hops, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY path) AS k, count(*) OVER (PARTITION BY dst) AS n FROM t) WHERE k <= 4""",
+    """, p(dst, nodes) AS (SELECT dst, [src, dst] FROM fx_gaps WHERE src = 0 AND dst <> 0
+  UNION ALL SELECT c.dst, list_append(nodes, c.dst) FROM fx_gaps c JOIN p ON c.src = p.dst WHERE len(nodes) < 5 AND c.dst IS NOT NULL AND NOT list_contains(nodes, c.dst)),
+t AS (SELECT dst, nodes, array_to_string(nodes, '>') AS path, len(nodes) - 1 AS hops FROM p)
+SELECT dst, path, CAST(hops AS INT) AS hops, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY nodes) AS k, count(*) OVER (PARTITION BY dst) AS n FROM t) WHERE k <= 4""",
     True,
 )
 def simple_paths(fx):
     """Paths of up to 4 edges from file 0, at most 4 for each end, and whether more were cut off."""
-    return graph.simple_paths(keep(fx.call(), "call"), 0, 4, 4)
+    return graph.simple_paths(keep(fx.call_with_gaps(), "call"), 0, 4, 4)
 
 
-FILES = """, e AS (SELECT src // 8 AS file, src, dst FROM fx_call WHERE src // 8 = dst // 8 AND src <> dst AND src // 8 < 12),
+FILES = """, e AS (SELECT src // 8 AS file, src, dst FROM fx_call WHERE src // 8 = dst // 8 AND src <> dst),
 target AS (SELECT file, max(dst) AS target FROM e WHERE dst % 8 <= 4 GROUP BY file),
 b(file, target, node, depth) AS (SELECT file, target, target, 0 FROM target UNION SELECT b.file, target, src, depth + 1 FROM e JOIN b ON e.file = b.file AND e.dst = b.node WHERE depth < 8),
 before AS (SELECT file, target, node, min(depth) AS depth FROM b GROUP BY ALL),
@@ -167,7 +167,7 @@ def compare_line(fx):
 @query(
     """, b AS (SELECT p_partkey % n AS file, p_partkey AS block, p_size AS pos, p_partkey % 50 AS start_line, p_partkey % 50 + p_size AS end_line FROM part, fx_n),
 p AS (SELECT line AS id, stem AS file, line % 100 AS line FROM fx_setter)
-SELECT p.id, p.file, p.line, arg_min(block, struct_pack(a := end_line - start_line, b := pos, c := block)) AS block FROM p LEFT JOIN b ON b.file = p.file AND p.line BETWEEN start_line AND end_line GROUP BY ALL"""
+SELECT p.id, p.file, p.line, arg_min(block, struct_pack(a := end_line - start_line, b := pos, c := block)) AS block FROM p LEFT JOIN b ON b.file = p.file AND start_line > 0 AND p.line BETWEEN start_line AND end_line GROUP BY ALL"""
 )
 def smallest_block(fx):
     """The smallest block around each setter's line."""
@@ -178,15 +178,15 @@ def smallest_block(fx):
 
 
 @query(
-    """, i AS (SELECT o_custkey AS enum, o_orderkey AS pos, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 50 AS VARCHAR) WHEN o_orderkey % 11 = 0 THEN '''x''' END AS literal FROM orders),
-r AS (SELECT *, CASE WHEN literal IS NOT NULL AND literal <> '''x''' THEN CAST(literal AS BIGINT) END AS number, count(literal) OVER (PARTITION BY enum ORDER BY pos) AS run FROM i),
+    """, i AS (SELECT o_custkey AS enum, o_orderkey AS pos, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 50 AS VARCHAR) WHEN o_orderkey % 11 = 0 THEN '''x''' WHEN o_orderkey % 13 = 0 THEN '1_000' WHEN o_orderkey % 17 = 0 THEN '0xFFFFFFFFFFFFFFFFFFFF' END AS literal FROM orders),
+r AS (SELECT *, CASE literal WHEN '''x''' THEN NULL WHEN '1_000' THEN 1000 WHEN '0xFFFFFFFFFFFFFFFFFFFF' THEN CAST(1208925819614629174706175 AS DECIMAL(38, 0)) ELSE CAST(literal AS DECIMAL(38, 0)) END AS number, count(literal) OVER (PARTITION BY enum ORDER BY pos) AS run FROM i),
 o AS (SELECT *, row_number() OVER w - 1 AS k, first_value(number) OVER w AS base FROM r WINDOW w AS (PARTITION BY enum, run ORDER BY pos))
 SELECT enum, pos, coalesce(literal, CAST(CASE WHEN run = 0 THEN k ELSE base + k END AS VARCHAR)) AS value FROM o"""
 )
 def enum_values(fx):
     """Values of enumerators, explicit or counted on."""
     key = F.col("o_orderkey")
-    literal = F.when(key % 7 == 0, (key % 50).cast("string")).when(key % 11 == 0, F.lit("'x'"))
+    literal = F.when(key % 7 == 0, (key % 50).cast("string")).when(key % 11 == 0, F.lit("'x'")).when(key % 13 == 0, F.lit("1_000")).when(key % 17 == 0, F.lit("0xFFFFFFFFFFFFFFFFFFFF"))
     items = fx.table("orders").select(F.col("o_custkey").alias("enum"), key.alias("pos"), F.lit("").alias("name"), literal.alias("literal"))
     return sequence.enumerate_runs(items.withColumn("number", X.integer_literal(F.col("literal")))).select("enum", "pos", "value")
 
@@ -222,7 +222,7 @@ def prefix_hops(fx):
 
 TESTS = ["CLI", "CLC", "C", "TM", "LTR", "ICM", "OC", "XC", "TMY"]
 BRANCHES = ["BE", "JNE", "BL", "JH", "BNH", "JNO", "BZ", "BM", "BXH", "BO"]
-ARGS = ["F,M", "R5,R5", "A,15,FLD", "R1", "X,X"]
+ARGS = ["F,M", "R5,R5", "A,15,FLD", "R1", "x,X", ",", "A,15,a"]
 
 
 def tests(fx):
@@ -232,17 +232,17 @@ def tests(fx):
 
 
 def _op(branch: str, taken: str) -> str:
-    cases = " ".join(f"WHEN {branch} = '{w}' THEN CASE WHEN {taken} THEN '{op}' ELSE '{X.OPPOSITE[op]}' END" for op, words in X.COMPARE.items() for w in words.split() if w in BRANCHES)
+    cases = " ".join(f"WHEN {branch} = '{w}' THEN CASE WHEN {taken} THEN '{op}' ELSE '{X.OPPOSITE[op]}' END" for w, op in X.COMPARE.items() if w in BRANCHES)
     return f"CASE {cases} END"
 
 
 def _masks(taken: str) -> str:
-    fill = lambda t: "'" + t.replace("{0}", "' || a0 || '").replace("{1}", "' || a1 || '") + "'"
-    return " ".join(f"WHEN test IN ('TM', 'TMY') AND branch = '{w}' THEN CASE WHEN {taken} THEN {fill(a)} ELSE {fill(b)} END" for k, (a, b) in X.MASK.items() for w in k.split() if w in BRANCHES)
+    fill = lambda t: "'" + t.replace("{0}", "' || a0 || '").replace("{1}", "' || coalesce(args[2], '?') || '") + "'"
+    return " ".join(f"WHEN test IN ('TM', 'TMY') AND branch = '{w}' THEN CASE WHEN {taken} THEN {fill(X.SENSE[k][0])} ELSE {fill(X.SENSE[k][1])} END" for w, k in X.MASK.items() if w in BRANCHES)
 
 
 def predicate_sql(taken: str) -> str:
-    zero = "(test = 'LTR' OR (test = 'ICM' AND len(args) >= 3 AND args[1] = args[-1]) OR (test = 'OC' AND len(args) >= 2 AND args[1] = args[-1]))"
+    zero = "(test = 'LTR' OR (args[1] <> '' AND (test = 'ICM' AND len(args) >= 3 AND upper(args[1]) = upper(args[-1]) OR test = 'OC' AND len(args) >= 2 AND upper(args[1]) = upper(args[2]))))"
     return f"""CASE {_masks(taken)} WHEN {_op('branch', taken)} IS NULL THEN test || ' ' || array_to_string(args, ', ') || CASE WHEN {taken} THEN ' taken:' ELSE ' fallthrough:' END || branch
   ELSE CASE WHEN test = 'ICM' AND len(args) >= 3 AND NOT {zero} THEN args[-1] ELSE a0 END || ' ' || {_op('branch', taken)} || ' ' || CASE WHEN {zero} OR (test = 'ICM' AND len(args) >= 3) THEN '0' ELSE a1 END END"""
 
@@ -252,7 +252,7 @@ TEST_VIEW = f""", e AS (SELECT event_id AS id, {sql_case(f'event_id % {len(TESTS
 t AS (SELECT *, args[1] AS a0, coalesce(args[2], '0') AS a1 FROM e)"""
 
 
-@query(TEST_VIEW + f" SELECT id, {predicate_sql('taken')} AS predicate, CASE WHEN args[-1] NOT SIMILAR TO 'R?[0-9]+' THEN args[-1] WHEN args[1] NOT SIMILAR TO 'R?[0-9]+' THEN args[1] ELSE '' END AS target FROM t")
+@query(TEST_VIEW + f" SELECT id, {predicate_sql('taken')} AS predicate, CASE WHEN upper(args[-1]) NOT SIMILAR TO 'R?[0-9]+' THEN upper(args[-1]) WHEN args[1] NOT SIMILAR TO 'R?[0-9]+' THEN upper(args[1]) ELSE '' END AS target FROM t")
 def predicate_text(fx):
     """What holds after a test and a branch, and the branch's target among the operands."""
     return tests(fx).select("id", X.predicate(F.col("test"), F.col("args"), F.col("branch"), F.col("taken")).alias("predicate"), X.branch_target(F.col("args")).alias("target"))
@@ -286,19 +286,27 @@ def or_guards(fx):
     return guards.or_of_sites(call_sites(fx))
 
 
-GUARDS = ["x != 0 && y == 1", "y == 1", "z", "(y == 1)", "x != 0", "", "a->c != 0 && q", "c != 0"]
+GUARDS = ["x != 0 && y == 1", "y == 1", "z", "(y == 1)", "x != 0", "", "a->c != 0 && q", "c != 0", "((((((((y == 1))))))))", "(((x != 0)"]
+
+
+def normal_sql(text: str) -> str:
+    """normal_conjunct() of an expression."""
+    bare = f"regexp_replace({text}, '\\s', '', 'g')"
+    pairs = f"least(length({bare}) - length(ltrim({bare}, '(')), length({bare}) - length(rtrim({bare}, ')')))"
+    return f"substr({bare}, {pairs} + 1, length({bare}) - 2 * {pairs})"
 
 
 @query(
-    f""", g AS (SELECT o_custkey AS id, o_orderkey AS pos, {sql_case('o_orderkey % 8', GUARDS)} AS text FROM orders),
+    f""", g AS (SELECT o_custkey AS id, o_orderkey AS pos, {sql_case('o_orderkey % 10', GUARDS)} AS text FROM orders),
 k AS (SELECT id, text, min(pos) AS pos FROM g WHERE trim(text) <> '' GROUP BY ALL),
-c AS (SELECT DISTINCT id, regexp_replace(regexp_replace(unnest(string_split(text, '&&')), '\\s', '', 'g'), '^\\((.*)\\)$', '\\1') AS normal FROM k WHERE contains(text, '&&'))
+u AS (SELECT id, unnest(string_split(text, '&&')) AS part FROM k WHERE contains(text, '&&')),
+c AS (SELECT DISTINCT id, {normal_sql('part')} AS normal FROM u)
 SELECT id, pos, text, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) AS INT) AS seq FROM k
-WHERE contains(text, '&&') OR NOT EXISTS (SELECT 1 FROM c WHERE c.id = k.id AND c.normal = regexp_replace(regexp_replace(text, '\\s', '', 'g'), '^\\((.*)\\)$', '\\1'))"""
+WHERE contains(text, '&&') OR NOT EXISTS (SELECT 1 FROM c WHERE c.id = k.id AND c.normal = {normal_sql('text')})"""
 )
 def conjunct_subsume(fx):
     """Guards without repeated ones and without those that a compound says already."""
-    rows = fx.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"), text_case(F.col("o_orderkey") % 8, GUARDS).alias("text"))
+    rows = fx.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"), text_case(F.col("o_orderkey") % 10, GUARDS).alias("text"))
     return guards.finalise(rows).select("id", "pos", "text", "seq")
 
 
@@ -367,8 +375,8 @@ def not_set_status(fx):
 
 
 @query(
-    """, pe AS (SELECT o_custkey AS path, o_orderkey AS seq, o_orderkey % 7 AS stem, 'f' || (o_orderkey % 3) AS fn, o_orderkey % 5 AS line FROM orders),
-g AS (SELECT DISTINCT p_partkey % 7 AS stem, 'f' || (p_partkey % 3) AS fn, p_partkey % 5 AS line, p_brand || '=' || (p_partkey % 4) AS text FROM part WHERE p_partkey % 9 = 0 AND p_partkey < 400),
+    """, pe AS (SELECT o_custkey AS path, o_orderkey AS seq, o_orderkey % n AS stem, 'f' || (o_orderkey // n % 3) AS fn, o_orderkey // n % 5 AS line FROM orders, fx_n),
+g AS (SELECT DISTINCT p_partkey % n AS stem, 'f' || (p_partkey // n % 3) AS fn, p_partkey // n % 5 AS line, p_brand || '=' || (p_partkey % 4) AS text FROM part, fx_n),
 u AS (SELECT c_custkey AS path, 0 AS section, CAST(1 AS BIGINT) AS seq, c_mktsegment AS text FROM customer UNION ALL SELECT path, 1, seq, text FROM pe JOIN g USING (stem, fn, line)
   UNION ALL SELECT c_custkey, 2, CAST(1 AS BIGINT), 'local' FROM customer WHERE c_custkey % 2 = 0)
 SELECT path, section, seq, text, CAST(row_number() OVER (PARTITION BY path ORDER BY section, seq, text) AS INT) AS rank FROM u"""
@@ -376,9 +384,9 @@ SELECT path, section, seq, text, CAST(row_number() OVER (PARTITION BY path ORDER
 def edge_guards(fx):
     """J22, U-2, W2: all guards of a path: prefix, edges in order, the setter's own."""
     key, part = F.col("o_orderkey"), F.col("p_partkey")
-    named = lambda c, k: F.concat(F.lit("f"), (c % k).cast("string"))
-    edges = fx.table("orders").select(F.col("o_custkey").alias("path"), key.alias("seq"), (key % 7).alias("stem"), named(key, 3).alias("fn"), (key % 5).alias("line"))
-    own = fx.table("part").select((part % 7).alias("stem"), named(part, 3).alias("fn"), (part % 5).alias("line"), F.concat_ws("=", "p_brand", (part % 4).cast("string")).alias("text")).distinct()
+    place = lambda c: [(c % fx.n).alias("stem"), F.concat(F.lit("f"), (F.floor(c / fx.n) % 3).cast("string")).alias("fn"), (F.floor(c / fx.n) % 5).alias("line")]
+    edges = fx.table("orders").select(F.col("o_custkey").alias("path"), key.alias("seq"), *place(key))
+    own = fx.table("part").select(*place(part), F.concat_ws("=", "p_brand", (part % 4).cast("string")).alias("text")).distinct()
     one = F.lit(1).cast("bigint").alias("seq")
     prefix = fx.table("customer").select(F.col("c_custkey").alias("path"), one, F.col("c_mktsegment").alias("text"))
     local = fx.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), one, F.lit("local").alias("text"))
@@ -401,7 +409,7 @@ def audit_dangling(fx):
 
 
 @query(
-    """, o AS (SELECT upper(p_name) AS name, p_partkey % n AS stem FROM part, fx_n WHERE p_partkey < 60), bp AS (SELECT DISTINCT stem FROM fx_setter WHERE line % 2 = 0 AND stem % 5 <> 0)
+    """, o AS (SELECT upper(p_name) || '_' || (p_partkey % n) // 4 AS name, p_partkey % n AS stem FROM part, fx_n), bp AS (SELECT DISTINCT stem FROM fx_setter WHERE line % 2 = 0 AND stem % 5 <> 0)
 SELECT DISTINCT name FROM o WHERE name NOT IN (SELECT name FROM o WHERE stem IN (SELECT stem FROM bp))"""
 )
 def audit_orphans(fx):
@@ -469,7 +477,7 @@ def terminal_counts(fx):
     return lineage.terminal_counts(lineage.classify(terminals(fx)).select("chain", "class"))
 
 
-MISSING = ["te90", "pack", "castod", "char", "unpack", "av5e2", "ab1c", "x_y"]
+MISSING = ["qz41", "fold", "lookup", "char", "gather", "kw7r3", "mn0p", "x_y"]
 
 
 @query(
@@ -546,8 +554,8 @@ def fingerprint(fx):
 
 
 @query(
-    """, h AS (SELECT o_orderkey AS hop, o_custkey % 20 AS stem, o_orderkey % 6 AS line, o_orderkey % 9 AS next FROM orders), c AS (SELECT DISTINCT p_partkey % 20 AS stem, p_size % 6 AS line, p_brand AS callee, p_size AS pos FROM part),
-w AS (SELECT DISTINCT p_partkey % 9 AS stem, p_brand AS fn FROM part WHERE p_partkey < 60)
+    """, h AS (SELECT o_orderkey AS hop, o_custkey % 20 AS stem, o_orderkey % 6 AS line, o_orderkey % 9 AS next FROM orders), c AS (SELECT DISTINCT p_partkey % 20 AS stem, p_size % 6 AS line, p_brand || '_' || p_partkey % 3 AS callee, p_size AS pos FROM part),
+w AS (SELECT DISTINCT p_partkey % 9 AS stem, p_brand || '_' || p_partkey % 3 AS fn FROM part)
 SELECT h.hop, h.stem, h.line, h.next, arg_min(c.callee, struct_pack(a := c.pos, b := c.callee)) AS callee FROM h LEFT JOIN (SELECT c.*, w.stem AS next FROM c JOIN w ON w.fn = c.callee) c ON c.stem = h.stem AND c.line = h.line AND c.next = h.next GROUP BY ALL"""
 )
 def hop_callee(fx):
@@ -575,9 +583,10 @@ def name_match(fx):
 
 @query(
     """, s AS (SELECT o_custkey AS route, o_orderkey % 3 AS segment, o_orderkey AS seq, 'p' || o_orderkey AS path FROM orders),
-j AS (SELECT a.route, a.seq AS s0, b.seq AS s1, c.seq AS s2, a.path || '/' || b.path || '/' || c.path AS path FROM s a JOIN s b ON b.route = a.route AND b.segment = 1 JOIN s c ON c.route = a.route AND c.segment = 2 WHERE a.segment = 0),
+j AS (SELECT q.route, a.seq AS s0, b.seq AS s1, c.seq AS s2, concat_ws('/', a.path, b.path, c.path) AS path FROM (SELECT DISTINCT route FROM s) q
+  LEFT JOIN s a ON a.route = q.route AND a.segment = 0 LEFT JOIN s b ON b.route = q.route AND b.segment = 1 LEFT JOIN s c ON c.route = q.route AND c.segment = 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY s0, s1, s2) AS rank, count(*) OVER (PARTITION BY route) AS n FROM j)
-SELECT route, CAST(rank AS INT) AS rank, path, n > 16 AS truncated FROM k WHERE rank <= 16"""
+SELECT route, CAST(rank AS INT) AS rank, path, n > 16 AS truncated, n > 16 OR s0 IS NULL OR s1 IS NULL OR s2 IS NULL AS incomplete FROM k WHERE rank <= 16"""
 )
 def path_product(fx):
     """Paths stitched of one path for each segment, at most 16 for a route, with a flag where that cuts."""
@@ -623,18 +632,18 @@ def hint_filter(fx):
     return setters.join(hints, "fn", "left_semi").where(~F.col("fn").contains("::")).select("stem", "line", "fn")
 
 
-OPERANDS = ["EBWKIDX+4 BASE THE ADDRESSES", "C'A B' X", "PAMSG1 '  X", "   PRE  ", " B'1111' ", "R5", "A"]
+OPERANDS = ["TABLE+8 FIRST ROW OF IT", "C'P Q' Y", "NAME9 '  Z", "   LEFT  ", " B'0110' ", "R5", "A", "\t W\tis here", "x'  open"]
 
 
 @query(
-    f""", t AS (SELECT p_partkey AS id, {sql_case('p_partkey % 7', OPERANDS)} || ',' || {sql_case('(p_partkey // 7) % 7', OPERANDS)} AS s FROM part),
-h AS (SELECT id, list_transform(string_split(s, ','), lambda x: regexp_extract(trim(x), '(?s)^((?:[^\\s'']|''[^'']*'')*(?:''.*)?)', 1)) AS args FROM t)
+    f""", t AS (SELECT p_partkey AS id, {sql_case('p_partkey % 9', OPERANDS)} || ',' || {sql_case('(p_partkey // 9) % 9', OPERANDS)} AS s FROM part),
+h AS (SELECT id, list_transform(string_split(s, ','), lambda x: regexp_extract(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '(?s)^((?:[^\\s'']|''[^'']*'')*(?:''.*)?)', 1)) AS args FROM t)
 SELECT id, array_to_string(args, '|') AS args, CASE WHEN upper(args[2]) NOT SIMILAR TO 'R?([0-9]|1[0-5])' THEN upper(args[2]) WHEN upper(args[1]) NOT SIMILAR TO 'R?([0-9]|1[0-5])' THEN upper(args[1]) ELSE '' END AS target FROM h"""
 )
 def operand_parse(fx):
     """Operands without the remarks behind them, and the branch target."""
     key = F.col("p_partkey")
-    text = F.concat_ws(",", text_case(key % 7, OPERANDS), text_case(F.floor(key / 7) % 7, OPERANDS))
+    text = F.concat_ws(",", text_case(key % 9, OPERANDS), text_case(F.floor(key / 9) % 9, OPERANDS))
     rows = fx.table("part").select(key.alias("id"), X.operands(text).alias("a"))
     return rows.select("id", F.array_join("a", "|").alias("args"), X.branch_target(F.col("a")).alias("target"))
 
@@ -693,7 +702,7 @@ def const_merge(fx):
 
 @query(
     DICTIONARY
-    + """, t AS (SELECT o_orderkey AS id, 'x' || (o_orderkey % 4) || ' == E::K' || (o_orderkey % 60) || ' && k' || (o_orderkey % 7) || ' != Q::K' || (o_orderkey % 13) || ' R5' AS s FROM orders WHERE o_orderkey % 3 = 0),
+    + """, t AS (SELECT o_orderkey AS id, 'x' || (o_orderkey % 4) || ' == E::K' || (o_orderkey % 60) || ' && k' || (o_orderkey % 7) || ' != Q::K' || (o_orderkey % 13) || ' R5' AS s FROM orders),
 n AS (SELECT id, list_distinct(list_filter(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_#$@]*(?:::[A-Za-z_][A-Za-z0-9_]*)?'), lambda x: x <> 'R5')) AS names FROM t),
 u AS (SELECT id, unnest(names) AS name FROM n)
 SELECT id, name, coalesce(f.value, b.value, a.value) AS value FROM u LEFT JOIN d f ON f.key = u.name LEFT JOIN d b ON b.key = string_split(u.name, '::')[-1] AND NOT contains(b.key, '::')

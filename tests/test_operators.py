@@ -214,3 +214,59 @@ def test_narrow_paths_are_flagged(spark):
     assert whole.count() == 64
     assert 0 < narrow.count() < 64
     assert all(r["truncated"] for r in narrow.collect())
+
+
+def test_nulls_are_no_nodes(spark):
+    edges = frame(spark, [(0, 1, 2), (None, 1, 3), (0, None, 4), (0, 2, None), (0, 2, 5)], "g long, src long, dst long")
+    seeds = frame(spark, [(0, 1), (None, 1), (0, None)], "g long, node long")
+    for small in (0, 10**6):
+        assert sorted(tuple(r) for r in graph.reach(seeds, edges, ["g"], small=small).collect()) == [(0, 1, 0), (0, 2, 1), (0, 5, 2)]
+        assert sorted(tuple(r) for r in graph.reach(frame(spark, [(None,), (1,)], "node long"), edges.drop("g"), small=small).collect()) == [(1, 0), (2, 1), (3, 1), (5, 2)]
+
+
+def test_long_numbers_are_whole(spark):
+    edges = frame(spark, [(0, 1234561), (0, 1234562), (1234562, 98765432101)], "src long, dst long")
+    got = {(r["dst"], r["path"]) for r in graph.simple_paths(edges, 0, 3, 9).collect()}
+    assert got == {(1234561, "0>1234561"), (1234562, "0>1234562"), (98765432101, "0>1234562>98765432101")}
+
+
+def test_routes_without_a_segment_stay(spark):
+    segments = frame(spark, [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 2, 0, "z"), (2, 1, 0, "m"), (3, 0, 0, "a"), (3, 1, 0, "b"), (3, 2, 0, "c")], "route long, segment long, seq long, path string")
+    got = {(r["route"], r["rank"]): (r["path"], r["truncated"], r["incomplete"]) for r in graph.stitch(segments, 3, 4).collect()}
+    assert got == {(1, 1): ("a/z", False, True), (1, 2): ("b/z", False, True), (2, 1): ("m", False, True), (3, 1): ("a/b/c", False, False)}
+
+
+def test_files_of_any_size_have_the_same_dominators(spark):
+    random.seed(19)
+    rows = [(f, random.randrange(12), random.randrange(12)) for f in range(12) for _ in range(18)]
+    targets = frame(spark, [(f, t) for f in range(13) for t in (1, 5, 9, 40)], "file long, target long")
+    edges = frame(spark, [r for r in rows if r[1] != r[2]], "file long, src long, dst long")
+    a, b = ({tuple(r) for r in graph.ancestry(edges, targets, n).where("dominates or depth > 0").collect()} for n in (10**6, 0))
+    assert a == b
+    assert len([r for r in a if r[4]]) > 10
+
+
+def test_compare_line_against_brute_force(spark):
+    random.seed(21)
+    pick = lambda i: (i, random.randrange(2), random.choice(["CLI", "cli", "TM"]), random.choice(["A", "a", "B", None, ""]), random.randrange(30_000))
+    marks, points = [pick(i) for i in range(120)], [pick(i) for i in range(150)]
+    schema = "id long, block long, inst string, operand string, line long"
+    want = {}
+    for i, block, inst, operand, line in points:
+        fits = [m[4] for m in marks if m[1] == block and m[2].upper() == inst.upper() and m[4] <= line and (not operand or (m[3] or "").upper() == operand.upper())]
+        want[i] = max(fits, default=line)
+    got = sequence.compare_line(frame(spark, points, schema), frame(spark, marks, schema).drop("id"))
+    assert {r["id"]: r["compare_line"] for r in got.collect()} == want
+
+
+def test_smallest_block_against_brute_force(spark):
+    random.seed(22)
+    blocks = [("fg"[i % 2], i, i, a, a + random.choice([0, 1, 7, 300, 5000])) for i, a in enumerate(random.randrange(6000) for _ in range(200))] + [("f", 900, 900, None, 5), ("f", 901, 901, 0, 10**6), ("f", 902, 902, 9, 3)]
+    points = [(i, random.choice("fgh"), random.randrange(12_000)) for i in range(300)]
+    want = {}
+    for i, file, line in points:
+        fits = [(b[4] - b[3], b[2], b[1]) for b in blocks if b[0] == file and b[3] and b[4] and b[3] <= line <= b[4]]
+        want[i] = min(fits)[2] if fits else None
+    got = sequence.smallest_block(frame(spark, points, "id long, file string, line long"), frame(spark, blocks, "file string, block long, pos long, start_line long, end_line long"))
+    assert {r["id"]: r["block"] for r in got.collect()} == want
+    assert len(got.columns) == 4

@@ -27,7 +27,7 @@ def test_tokens(spark, text, want):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("EBWKIDX+4 BASE THE ADDRESSES", "EBWKIDX+4"), ("C'A B' X", "C'A B'"), ("PAMSG1 '  X", "PAMSG1"), ("'   PRE-AUTH ?", "'   PRE-AUTH ?"), (" B'1111' ", "B'1111'")],
+    [("EBWKIDX+4 BASE THE ADDRESSES", "EBWKIDX+4"), ("C'A B' X", "C'A B'"), ("PAMSG1 '  X", "PAMSG1"), ("'   PRE-AUTH ?", "'   PRE-AUTH ?"), (" B'1111' ", "B'1111'"), (" \tA", "A"), ("\n A\u00a0B", "A"), ("\t", "")],
 )
 def test_operand_head(spark, text, want):
     assert one(spark, X.operand_head(F.lit(text))) == want
@@ -48,6 +48,12 @@ def test_operand_head(spark, text, want):
         ("ICM", ["R15", "15", "FLD"], "BNZ", "FLD != 0", "FLD == 0"),
         ("OC", ["X", "X"], "JZ", "X == 0", "X != 0"),
         ("XC", ["X", "X"], "JZ", "X == X", "X != X"),
+        ("TM", ["F"], "BO", "(F & ?) == ?", "(F & ?) != ?"),
+        ("TM", [], "BZ", "(? & ?) == 0", "(? & ?) != 0"),
+        ("TM", ["{1}", "M"], "BO", "({1} & M) == M", "({1} & M) != M"),
+        ("OC", ["ebw", "EBW"], "JZ", "ebw == 0", "ebw != 0"),
+        ("NC", [" A", "a\t"], "JZ", " A == 0", " A != 0"),
+        ("OC", ["", ""], "JZ", " == ", " != "),
         ("CLC", ["A", "B"], "BXH", "CLC A, B taken:BXH", "CLC A, B fallthrough:BXH"),
     ],
 )
@@ -64,7 +70,8 @@ def test_negation(spark):
     assert one(spark, X.negate(F.lit("(F & M) != M"), F.lit("(F & M) == M"))) == "(F & M) == M"
 
 
-@pytest.mark.parametrize(("text", "want"), [("0x80U", 128), ("-1", -1), ("010", None), ("'A'", None), ("00", 0), ("7ul", 7), ("0b11", 3), ("", None)])
+@pytest.mark.parametrize(("text", "want"), [("0x80U", 128), ("-1", -1), ("010", None), ("'A'", None), ("00", 0), ("7ul", 7), ("0b11", 3), ("", None), ("1_000", 1000), ("1__0", None), ("_1", None), ("0x_fF", 255), ("0o17", 15), (" -0x10\t", -16), ("+5", 5),
+     ("0xFFFFFFFFFFFFFFFFFFFF", 16**20 - 1), ("0x" + "0" * 40 + "1", 1), ("0x" + "f" * 31, None), ("9" * 38, 10**38 - 1), ("9" * 39, None), ("0b" + "1" * 64, 2**64 - 1), ("-18446744073709551615", 1 - 2**64), ("0x", None), ("-", None)])
 def test_integers(spark, text, want):
     assert one(spark, X.integer_literal(F.lit(text))) == want
 
@@ -72,6 +79,21 @@ def test_integers(spark, text, want):
 def test_conjunct_normal_form(spark):
     assert one(spark, X.normal_conjunct(F.lit("(a->b != 0)"))) == "a->b!=0"
     assert one(spark, X.normal_conjunct(F.lit("(a)||(b)"))) == "a)||(b"
+    assert one(spark, X.normal_conjunct(F.lit("(" * 8 + " a\t" + ")" * 8))) == "a"
+    assert one(spark, X.normal_conjunct(F.lit("((a)"))) == "(a"
+    assert one(spark, X.normal_conjunct(F.lit("()"))) == ""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("p.q->r[0] == E::A", ("p.q->r[0]", "E::A")), (" v==A::B::C ", ("v", "A::B::C")), ("!(v == E::A)", None), ("v == A", None), ("v == E::A && w", None),
+        ("v != E::A", None), ("", None), ("é == É::ß", None), ("a é == E::A", None),
+    ],
+)
+def test_required_equality(spark, text, want):
+    got = one(spark, X.required_equality(F.lit(text)))
+    assert (got and tuple(got)) == want
 
 
 def test_definitions(spark):
@@ -80,8 +102,8 @@ def test_definitions(spark):
 
 
 def test_link_aliases(spark):
-    got = one(spark, X.link_aliases(F.lit('#pragma map(ckXc, "TE90")\nint f(int) asm("F1");\nint g() asm("g");')))
-    assert [tuple(x) for x in got] == [("ckxc", "te90"), ("f", "f1")]
+    got = one(spark, X.link_aliases(F.lit('#pragma map(ckXc, "TE90")\nint f(int) asm("F1");\nint g() asm("g");\nint h(a, b) __asm__ ( "H9" );\n# pragma map(k,"K2")')))
+    assert [tuple(x) for x in got] == [("ckxc", "te90"), ("k", "k2"), ("f", "f1"), ("h", "h9")]
 
 
 @pytest.mark.parametrize(
