@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,24 @@ def or_of_sites(sites: DataFrame) -> DataFrame:
     return hops.select("hop", "bound", guard.alias("guard"))
 
 
-def finalise(guards: DataFrame) -> DataFrame:
-    """Guards (id, pos, text) without empty and repeated texts, and without those that are a whole conjunct of some
-    compound of the same id; renumbered as seq."""
-    kept = sequence.first_of(guards.where("text is not null and trim(text) <> ''"), ["id", "text"], ["pos"])
-    compound = kept.where(F.col("text").contains("&&")).select("id", F.explode(X.conjuncts(F.col("text"))).alias("normal")).distinct()
-    simple = kept.where(~F.col("text").contains("&&")).withColumn("normal", X.normal_conjunct(F.col("text"))).join(compound, ["id", "normal"], "left_anti").drop("normal")
+def finalise(guards: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Guards (key..., pos, text) without empty and repeated texts, and without those that are a whole conjunct of some
+    compound of the same key; renumbered as seq."""
+    kept = sequence.first_of(guards.where("text is not null and trim(text) <> ''"), [*key, "text"], ["pos"])
+    compound = kept.where(F.col("text").contains("&&")).select(*key, F.explode(X.conjuncts(F.col("text"))).alias("normal")).distinct()
+    simple = kept.where(~F.col("text").contains("&&")).withColumn("normal", X.normal_conjunct(F.col("text"))).join(compound, [*key, "normal"], "left_anti").drop("normal")
     rest = simple.unionByName(kept.where(F.col("text").contains("&&")).select(simple.columns))
-    return sequence.renumber(rest, ["id"], ["pos"])
+    return sequence.renumber(rest, list(key), ["pos"])
+
+
+def constants_of(guards: DataFrame, key: tuple[str, ...], cpp: DataFrame, asm: DataFrame) -> DataFrame:
+    """(key..., seq, constants) the constants that each guard (key..., seq, text) names, as a map; guards without
+    any have no row."""
+    from backtrail.operators import constants
+
+    texts = guards.select(F.struct(*key, "seq").alias("id"), "text")
+    found = constants.resolve_tokens(texts, cpp, asm).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("constants"))
+    return found.select("id.*", "constants")
 
 
 def richest(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -76,6 +88,79 @@ def not_set_status(setters: DataFrame) -> DataFrame:
     return ids.select("id", status.alias("status"))
 
 
+def entering_sites(pairs: DataFrame, calls: DataFrame, functions: DataFrame, owners: DataFrame) -> DataFrame:
+    """(hop, line): the lines at which the caller of a pair (hop, stem, function, next_stem, next_type, next_function)
+    enters the next file. calls (stem, fn, callee, line) are the caller's; where the caller has a function, only calls from
+    exactly that one count.
+
+    What a call enters: the next hop's function, if it has one (qualified by more or by fewer scopes); else some function
+    (stem, fn) of a C++ file, qualified on either side; else, of an assembler file, a name that it owns (name, stem), or the
+    file's own name, both in capitals. Where nothing is known of the next file, nothing is entered.
+    """
+    called = calls.where("callee <> ''").withColumnRenamed("fn", "caller")
+    sites = pairs.join(called, "stem").where("coalesce(function, '') = '' or caller = function").select("hop", "line", "callee", "next_stem", "next_type", F.coalesce("next_function", F.lit("")).alias("next_function"))
+    named = sites.where("next_function <> ''").withColumn("part", F.explode(X.suffixes(F.col("callee")))).where("part = next_function")
+    file = sites.where("next_function = ''")
+    own = functions.where("fn <> ''").select(F.col("stem").alias("next_stem"), "fn").distinct()
+    cpp = file.where("next_type = 'cpp'")
+    longer = cpp.withColumn("fn", F.explode(X.suffixes(F.col("callee")))).join(own, ["next_stem", "fn"], "left_semi")
+    shorter = cpp.join(own.withColumn("callee", F.explode(X.suffixes(F.col("fn")))).select("next_stem", "callee").distinct(), ["next_stem", "callee"], "left_semi")
+    asm = file.where("next_type = 'asm'").withColumn("upper", F.upper("callee"))
+    owned = asm.join(owners.select(F.upper("name").alias("upper"), F.col("stem").alias("next_stem")).distinct(), ["upper", "next_stem"], "left_semi")
+    itself = asm.where(F.col("upper") == F.upper(F.col("next_stem").cast("string")))
+    parts = [df.select("hop", "line") for df in (named, longer, shorter, owned, itself)]
+    return reduce(DataFrame.unionAll, parts).distinct()
+
+
+def prefix_guards(hops: DataFrame, calls: DataFrame, functions: DataFrame, owners: DataFrame, site_guards: DataFrame, asm_sites: DataFrame | None = None,
+                  asm_guards: DataFrame | None = None, triggers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(guards (chain, seq, pos, text, via, line, end_line), bounds (chain, stem, bound)) of descending the hops
+    (chain, pos, stem, file_type, function) of a chain.
+
+    A C++ caller: entering_sites() of calls; without any there is neither guard nor bound. A site without guards
+    (site_guards: stem, line, seq, text) leaves the descent unguarded; one site gives its guards one by one, several one OR
+    of them, at the first site; the bound is the last. An assembler caller: the first of its direct sites (asm_sites: stem,
+    next_stem, pos, line), without any unguarded; each guard there (asm_guards: stem, line, seq, text, test, branch, args,
+    note, block, branch_line) is written as a predicate and anchored at its compare (triggers: stem, inst, operand, line).
+    """
+    from backtrail.operators import projections
+
+    order = Window.partitionBy("chain").orderBy("pos")
+    following = lambda c: F.lead(c).over(order).alias(f"next_{c}")
+    pairs = hops.select("chain", F.col("pos").alias("seq"), "stem", "file_type", "function", following("stem"), F.lead("file_type").over(order).alias("next_type"), following("function"))
+    pairs = pairs.where("next_stem is not null").withColumns({"hop": F.struct("chain", "seq", "stem", "next_stem"), "via": F.concat(F.col("stem").cast("string"), F.lit("→"), F.col("next_stem").cast("string"))})
+    cpp, asm = pairs.where("file_type = 'cpp'"), pairs.where("file_type <> 'cpp'")
+    sites = entering_sites(cpp, calls, functions, owners).select("hop", "line", F.col("hop.stem").alias("stem"))
+    guarded = sites.join(site_guards.where("trim(text) <> ''").select("stem", "line", F.col("seq").alias("pos"), F.col("text").alias("guard")), ["stem", "line"], "left")
+    merged = or_of_sites(guarded.select("hop", F.col("line").alias("site"), "line", "guard", "pos"))
+    count = guarded.groupBy("hop").agg(F.min("line").alias("first"), F.countDistinct("line").alias("sites"))
+    merged = merged.join(count, "hop")
+    several = merged.where("sites > 1 and guard is not null").select("hop", F.lit(1).cast("bigint").alias("pos"), F.col("guard").alias("text"), F.col("first").alias("line"))
+    single = guarded.join(merged.where("sites = 1").select("hop"), "hop", "left_semi").where("guard is not null").select("hop", F.col("pos").cast("bigint").alias("pos"), F.col("guard").alias("text"), "line")
+    via = pairs.select("hop", "via").distinct()
+    out = several.unionAll(single).join(via, "hop").select("hop.chain", "hop.seq", "pos", "text", "via", "line", F.col("line").alias("end_line"))
+    bounds = merged.select("hop.chain", "hop.stem", "bound")
+    if asm_sites is not None:
+        place = asm.join(asm_sites.withColumnRenamed("pos", "site_pos"), ["stem", "next_stem"]).groupBy("hop", "via", "stem").agg(F.min_by("line", "site_pos").alias("line"))
+        bounds = bounds.unionAll(place.select("hop.chain", "hop.stem", F.col("line").alias("bound")))
+        if asm_guards is not None:
+            rows = place.join(asm_guards, ["stem", "line"]).withColumn("decision", F.coalesce("branch_line", "line")).withColumn("key", F.struct("hop", "seq"))
+            texts = projections.hop_guards(rows.select(F.col("key").alias("hop"), "seq", "text", "test", "branch", "args", "note", "block")).select(F.col("hop").alias("key"), F.col("text").alias("shown"))
+            anchored = rows.select("key", "via", "line", "decision", F.when(F.col("text").isNull(), F.element_at(F.split("test", r"\s+"), 1)).alias("inst"), F.try_element_at(X.operands(F.regexp_extract("test", r"^\S+\s+(.*)$", 1)), F.lit(1)).alias("operand"), "stem")
+            if triggers is not None:
+                points = anchored.select(F.col("key").alias("id"), F.col("stem").alias("block"), "inst", "operand", F.col("decision").alias("line"))
+                found = sequence.compare_line(points, triggers.withColumnRenamed("stem", "block")).select(F.col("id").alias("key"), "compare_line")
+                anchored = anchored.join(found, "key", "left").withColumn("compare_line", F.when(F.col("inst").isNotNull(), F.col("compare_line")))
+            else:
+                anchored = anchored.withColumn("compare_line", F.lit(None).cast("bigint"))
+            asm_rows = texts.where("shown <> ''").join(anchored, "key").select(
+                "key.hop.chain", "key.hop.seq", F.col("key.seq").cast("bigint").alias("pos"), F.col("shown").alias("text"), F.concat("via", F.lit("@"), F.col("line").cast("string")).alias("via"),
+                F.coalesce("compare_line", "decision").alias("line"), F.col("decision").alias("end_line"),
+            )
+            out = out.unionAll(asm_rows)
+    return out, bounds.groupBy("chain", "stem").agg(F.max("bound").alias("bound"))
+
+
 def edge_guards(edges: DataFrame, guards: DataFrame, prefix: DataFrame, local: DataFrame) -> DataFrame:
     """J22, U-2: guards of each path (path, section, seq, text): the prefix's (0), those at its edges in order (1), the
     setter's own (2). A caller without guards adds none."""

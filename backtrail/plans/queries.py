@@ -11,6 +11,7 @@ from backtrail.functions import scalars as X
 from backtrail.operators import constants, graph, guards, lineage, sequence
 from backtrail.plans.fixtures import SQL as VIEWS
 from backtrail.plans.fixtures import Fixtures
+from backtrail.plans.trace import Bounds, Inputs, Trace, lineage_graph, trace_chains
 from backtrail.sources.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -716,3 +717,81 @@ def const_lookup(fx):
     texts = fx.table("orders").select(key.alias("id"), text.alias("text"))
     known = keep(dictionary(fx), "dictionary")
     return constants.resolve_tokens(texts, known, known).select("id", "name", "value")
+
+
+# --- traces ---
+
+SET_VALUES = ["E::A", "E::B", "A", "f(E::B)", "x y", "Q::A"]
+CALL_GUARDS = ["v0 == E::A", "v1 == E::B && w", "w", "u != 0", "v2 == E::B", "(w)"]
+
+TRACE = f""", tail AS (SELECT chain, CAST(node AS BIGINT) AS node FROM (VALUES (0, 0), (1, 1)) t(chain, node)),
+st AS (SELECT o_orderkey AS id, o_custkey % n AS stem, 'v' || (o_orderkey % 5) AS variable, {sql_case('o_orderkey // 5 % 6', SET_VALUES)} AS value, o_orderkey % 7 = 0 AS decl FROM orders, fx_n),
+gd AS (SELECT p_partkey % n AS stem, 10 + p_partkey // n AS line, p_partkey AS seq, {sql_case('p_partkey % 6', CALL_GUARDS)} AS text FROM part, fx_n
+  UNION ALL SELECT o_custkey % n, o_orderkey, 1, CASE WHEN o_orderkey % 2 = 0 THEN 'w' ELSE 'own' END FROM orders, fx_n WHERE o_orderkey % 3 = 0),
+dp AS (SELECT o_orderkey AS setter, 'v' || (o_orderkey // 7 % 5) AS child FROM orders WHERE o_orderkey % 11 = 0 AND (o_orderkey % 5 = 0 OR o_orderkey // 7 % 5 < 3)),
+rc(chain, node) AS (SELECT * FROM tail UNION SELECT chain, dst FROM fx_call JOIN rc ON src = node),
+p(chain, dst, nodes) AS (SELECT chain, node, [node] FROM tail UNION ALL SELECT chain, c.dst, list_append(nodes, c.dst) FROM p JOIN fx_call c ON c.src = p.dst AND c.src <> c.dst WHERE len(nodes) <= 3 AND NOT list_contains(nodes, c.dst)),
+cut AS (SELECT chain FROM p WHERE len(nodes) = 3 GROUP BY chain, dst HAVING count(*) > 16),
+pk AS (SELECT chain, dst, nodes, k, len(nodes) > 1 AND (n > 4 OR chain IN (SELECT chain FROM cut)) AS tr
+  FROM (SELECT *, row_number() OVER (PARTITION BY chain, dst ORDER BY nodes) AS k, count(*) OVER (PARTITION BY chain, dst) AS n FROM p) WHERE k <= 4),
+far AS (SELECT DISTINCT chain, dst FROM pk WHERE len(nodes) > 3 OR tr),
+by_(chain, node) AS (SELECT chain, c.dst FROM far JOIN fx_call c ON c.src = far.dst AND c.src <> c.dst UNION SELECT chain, c.dst FROM by_ JOIN fx_call c ON c.src = node),
+tu AS (SELECT rc.chain, st.id, st.stem, st.variable, st.value, coalesce(k, 0) AS k, nodes, coalesce(tr OR by_.node IS NOT NULL, true) AS truncated
+  FROM st JOIN rc ON rc.node = st.stem LEFT JOIN pk ON pk.chain = rc.chain AND pk.dst = st.stem LEFT JOIN by_ ON by_.chain = rc.chain AND by_.node = st.stem),
+hp AS (SELECT chain, dst, k, nodes, unnest(range(1, len(nodes))) AS i FROM pk),
+along AS (SELECT hp.chain, hp.dst AS stem, hp.k, hp.i, gd.seq, gd.text FROM hp JOIN fx_call c ON c.src = nodes[i] AND c.dst = nodes[i + 1] JOIN gd ON gd.stem = c.src AND gd.line = c.line),
+raw AS (SELECT tu.chain, tu.id, tu.k, 1 AS section, a.i, a.seq, a.text FROM tu JOIN along a ON a.chain = tu.chain AND a.stem = tu.stem AND a.k = tu.k
+  UNION ALL SELECT tu.chain, tu.id, tu.k, 2, gd.seq, 0, gd.text FROM tu JOIN gd ON gd.stem = tu.stem AND gd.line = tu.id),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain, id, k, text ORDER BY section, i, seq) AS nth FROM raw) WHERE nth = 1),
+cj AS (SELECT DISTINCT chain, id, k, {normal_sql('part')} AS normal FROM (SELECT chain, id, k, unnest(string_split(text, '&&')) AS part FROM one WHERE contains(text, '&&'))),
+fin AS (SELECT o.* FROM one o LEFT JOIN cj ON NOT contains(o.text, '&&') AND cj.chain = o.chain AND cj.id = o.id AND cj.k = o.k AND cj.normal = {normal_sql('o.text')} WHERE cj.id IS NULL),
+rq AS (SELECT chain, id, k, string_split(text, ' ')[1] AS scrutinee, arg_min(string_split(text, ' ')[3], struct_pack(a := section, b := i, c := seq)) AS need FROM fin WHERE regexp_full_match(text, 'v[0-9] == E::[AB]') GROUP BY ALL),
+free AS (SELECT st.* FROM st WHERE NOT decl AND contains(value, '::') AND NOT contains(value, ' ') AND right(value, 1) <> ')' AND NOT EXISTS (SELECT 1 FROM gd WHERE gd.stem = st.stem AND gd.line = st.id)),
+lastset AS (SELECT stem, variable, arg_max(value, id) AS value FROM free GROUP BY ALL),
+asg AS (SELECT rq.chain, rq.id, rq.k, rq.scrutinee, any_value(rq.need) AS need, arg_max(f.value, hp.i) AS last FROM rq JOIN tu USING (chain, id, k) JOIN hp ON hp.chain = rq.chain AND hp.dst = tu.stem AND hp.k = rq.k
+  JOIN lastset f ON f.stem = hp.nodes[hp.i + 1] AND f.variable = rq.scrutinee GROUP BY ALL),
+gone AS (SELECT DISTINCT chain, id, k FROM asg WHERE string_split(need, '::')[-1] <> string_split(last, '::')[-1]),
+gt AS (SELECT chain, id, k, string_agg(text, ' && ' ORDER BY section, i, seq) AS guards FROM fin GROUP BY ALL),
+en AS (SELECT tu.*, guards FROM tu LEFT JOIN gt USING (chain, id, k) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.chain = tu.chain AND g.id = tu.id AND g.k = tu.k)),
+nd AS (SELECT DISTINCT chain, variable, child, stem, id FROM en JOIN dp ON setter = id),
+dq(chain, variable, depth) AS (SELECT chain, 'v0', 0 FROM tail UNION SELECT dq.chain, child, depth + 1 FROM dq JOIN nd ON nd.chain = dq.chain AND nd.variable = dq.variable WHERE depth < 2),
+dm AS (SELECT chain, variable, min(depth) AS depth FROM dq GROUP BY ALL)"""
+
+
+def traced(fx) -> Trace:
+    """v0 and what it depends on, one step, from the files 0 and 1; at most 4 paths of 3 calls for each file."""
+    n, key, part = fx.n, F.col("o_orderkey"), F.col("p_partkey")
+    orders, parts = fx.table("orders"), fx.table("part")
+    name = lambda c: F.concat(F.lit("v"), (c % 5).cast("string"))
+    stem, by_seven = F.col("o_custkey") % n, F.floor(key / 7)
+    setters = orders.select(key.alias("id"), stem.alias("stem"), key.alias("line"), name(key).alias("variable"), F.lit("cpp").alias("language"), text_case(F.floor(key / 5) % 6, SET_VALUES).alias("value"), (key % 7 == 0).alias("is_declaration"))
+    guards_ = parts.select((part % n).alias("stem"), (10 + F.floor(part / n)).alias("line"), part.alias("seq"), text_case(part % 6, CALL_GUARDS).alias("text"))
+    guards_ = guards_.unionAll(orders.where(key % 3 == 0).select(stem, key, F.lit(1).cast("bigint"), F.when(key % 2 == 0, "w").otherwise("own")))
+    needs = orders.where((key % 11 == 0) & ((key % 5 == 0) | (by_seven % 5 < 3))).select(key.alias("setter"), name(by_seven).alias("variable"))
+    tails = fx.spark.createDataFrame([(0, 0), (1, 1)], "chain int, node bigint")
+    inputs = Inputs(keep(fx.call(), "call"), keep(setters, "setters"), keep(guards_, "guards"), keep(needs, "needs"))
+    return trace_chains(inputs, "v0", tails, Bounds(paths=4, path_edges=3, depth=1, each_site=True))
+
+
+@query(
+    TRACE
+    + """ SELECT en.chain, en.variable, dm.depth, en.id, array_to_string(nodes, '>') AS path, guards, truncated, guards IS NULL AND NOT truncated AS unconditional FROM en JOIN dm ON dm.chain = en.chain AND dm.variable = en.variable WHERE dm.depth <= 1""",
+    True,
+)
+def trace_setters(fx):
+    """G12 with J2, F1, G1, G3, J22, U-2, A18, F8, G16, W5, A1, O6: setters on each path of two chains, and what must hold."""
+    return traced(fx).setters.select("chain", "variable", "depth", "id", "path", "guards", "truncated", "unconditional")
+
+
+@query(
+    TRACE
+    + """, ed AS (SELECT DISTINCT nd.chain, nd.variable FROM nd JOIN dm ON dm.chain = nd.chain AND dm.variable = nd.variable AND dm.depth <= 1),
+ct AS (SELECT chain, variable, count(*) AS setters FROM en GROUP BY ALL)
+SELECT dm.chain, dm.variable AS name, CASE WHEN dm.variable = 'v0' THEN 'root' ELSE 'dependent' END AS role, depth <= 1 AND ed.variable IS NULL AND dm.variable <> 'v0' AS terminal, depth > 1 AS truncated,
+  CASE WHEN depth <= 1 THEN coalesce(setters, 0) ELSE 0 END AS setters, CASE WHEN depth <= 1 AND setters > 0 THEN depth END AS first_depth
+FROM dm LEFT JOIN ed ON ed.chain = dm.chain AND ed.variable = dm.variable LEFT JOIN ct ON ct.chain = dm.chain AND ct.variable = dm.variable""",
+    True,
+)
+def trace_nodes(fx):
+    """The variables of two traces: root, dependent, terminal, and those beyond the greatest depth."""
+    return lineage_graph(traced(fx), "v0")[0]

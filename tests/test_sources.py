@@ -83,8 +83,8 @@ def test_trace(spark):
     )
     got = trace.trace(inputs, "V", 0)
     rows = {r["id"]: r for r in got.setters.collect()}
-    assert set(rows) == {1, 3}
-    assert (rows[1]["guards"], rows[1]["value_resolved"], rows[1]["unconditional"], rows[1]["path"]) == ("x == 1 && y", "7", False, "000000>000001>000002")
+    assert set(rows) == {1, 3, 4}
+    assert (rows[1]["guards"], rows[1]["value_resolved"], rows[1]["unconditional"], rows[1]["path"]) == ("x == 1 && y", "7", False, "0>1>2")
     assert rows[3]["unconditional"]
     assert {(r["parent"], r["child"]) for r in got.edges.collect()} == {("V", "W"), ("W", "V")}
     assert not got.reached_depth
