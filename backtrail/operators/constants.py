@@ -2,57 +2,71 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
 from backtrail.operators import sequence
 
-_KEYWORD = re.compile(r"\b(enum|struct|class|namespace)\b")
-_NAME = re.compile(r"\s*(?:(?:class|struct)\b\s*)?([A-Za-z_]\w*)?")
-_BODY = re.compile(r"[{;]")
-_ENUMERATOR = re.compile(r"([A-Za-z_]\w*)\s*(?:=\s*([^,}]+?))?\s*(?:,|$)", re.S)
-
-
-def brace_end(text: str, opening: int) -> int:
-    """The place of the brace that closes the one at opening, or the text's end."""
-    level = 0
-    for m in re.compile("[{}]").finditer(text, opening):
-        level += 1 if m[0] == "{" else -1
-        if level == 0:
-            return m.start()
-    return len(text)
+#: Words, and the signs that open and close bodies.
+_SIGNS = re.compile(r"\w+|[{};]|[^\w\s{};]+")
+_LAST_NAME = re.compile(r"[A-Za-z_]\w*\Z")
+SCOPES = ("enum", "struct", "class", "namespace")
 
 
 def enumerators(text: str) -> Iterator[tuple[str | None, str | None, int, int, str, str | None]]:
-    """(enum, parent scopes, number of the enum, place, name, literal) of each enumerator in a text without comments.
-
-    Scopes are found by keyword and brace, without regard to syntax; a stack of open ranges replaces recursion."""
-    stack, number = [(0, len(text), "")], 0
-    while stack:
-        at, end, scope = stack.pop()
-        m = _KEYWORD.search(text, at, end)
-        if not m:
-            continue
-        name = _NAME.match(text, m.end(), end)
-        stop = _BODY.search(text, name.end() if name else m.end(), end)
-        if not stop:
-            continue
-        if stop[0] == ";":
-            stack.append((stop.end(), end, scope))
-            continue
-        close = min(brace_end(text, stop.start()), end)
-        stack.append((close + 1, end, scope))
-        own = name[1] if name else None
-        if m[1] == "enum":
-            for i, e in enumerate(_ENUMERATOR.finditer(text, stop.end(), close)):
-                yield own, scope or None, number, i, e[1], e[2]
+    """(enum, parent scopes, number of the enum, place, name, literal) of each enumerator in a text without comments.
+
+    One pass over words and braces, with a stack of open bodies. A keyword of SCOPES opens a scope at the next brace, unless
+    a semicolon comes first; its name is the word right behind it (class or struct left out). Syntax isn't respected
+    otherwise: what follows "template <class T>" counts as a scope. A body that is never closed reaches the text's end."""
+    open_bodies: list[str | None] = []  # the scope that each open body adds to its parents
+    pending: list | None = None  # [keyword, name, whether a name may still come]
+    signs, number = _SIGNS.finditer(text), 0
+    for m in signs:
+        sign = m[0]
+        if sign == "{":
+            kind, name, _ = pending or ("", None, False)
+            pending = None
+            if kind != "enum":
+                open_bodies.append(name)
+                continue
+            level, close = 1, len(text)
+            for inner in signs:
+                level += (inner[0] == "{") - (inner[0] == "}")
+                if level == 0:
+                    close = inner.start()
+                    break
+            scope = "::".join(x for x in open_bodies if x) or None
+            for i, (own, literal) in enumerate(listed(text[m.end() : close])):
+                yield name, scope, number, i, own, literal
             number += 1
-        else:
-            stack.append((stop.end(), close, (f"{scope}::{own}" if scope else own) if own else scope))
+        elif sign == "}":
+            pending = None
+            if open_bodies:
+                open_bodies.pop()
+        elif sign == ";":
+            pending = None
+        elif pending is None:
+            pending = [sign, None, True] if sign in SCOPES else None
+        elif pending[2] and sign not in ("class", "struct"):
+            pending[1:] = [sign if sign.isidentifier() and sign[0].isascii() else None, False]
+
+
+def listed(body: str) -> Iterator[tuple[str, str | None]]:
+    """(name, literal) of the enumerators between the braces: what stands between commas, and the last name before any =."""
+    for part in body.split(","):
+        left, equals, right = part.partition("=")
+        name = _LAST_NAME.search(left.rstrip())
+        if name and not equals:
+            yield name[0], None
+        elif name and right.strip() and "}" not in right:
+            yield name[0], right.strip()
 
 
 def enum_items(files: DataFrame) -> DataFrame:
@@ -105,3 +119,59 @@ def resolve_tokens(texts: DataFrame, cpp: DataFrame, asm: DataFrame) -> DataFram
     found = texts.select("id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "name"))
     first = found.groupBy("id", "name").agg(F.min("pos").alias("pos"))
     return look_up(first, cpp, asm).where("value is not null")
+
+
+def cpp_pairs(blueprints: DataFrame, sources: DataFrame) -> DataFrame:
+    """(rank, path, seq, key, value): what C++ constants are called; blueprints (path, key, value) count before the
+    enumerators of sources (path, text)."""
+    first = F.struct(F.lit(0).cast("bigint").alias("nth"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("spelling"))
+    known = blueprints.select(F.lit(0).alias("rank"), "path", first.alias("seq"), "key", "value")
+    found = enum_pairs(sources).select(F.lit(1).alias("rank"), "path", "seq", "key", "value")
+    return known.unionAll(found.select("rank", "path", F.struct(F.col("seq.nth").cast("bigint"), F.col("seq.pos").cast("bigint"), F.col("seq.spelling")).alias("seq"), "key", "value"))
+
+
+def asm_pairs(sources: DataFrame) -> DataFrame:
+    """(rank, path, seq, key, value): the definitions of assembler sources (path, text), names in capitals."""
+    found = sources.select("path", F.posexplode(X.definitions(F.col("text"))).alias("seq", "d"))
+    return found.select(F.lit(0).alias("rank"), "path", "seq", F.upper("d.name").alias("key"), F.col("d.value").alias("value"))
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Both tables of constants (key, value, source_path)."""
+
+    cpp: DataFrame
+    asm: DataFrame
+
+    def bare_names(self) -> DataFrame:
+        """(name) C++ constants without a scope."""
+        return self.cpp.where(~F.col("key").contains("::")).select(F.col("key").alias("name"))
+
+    def resolve(self, names: DataFrame) -> DataFrame:
+        """Names (id, name) with their value."""
+        return look_up(names, self.cpp, self.asm)
+
+
+def dictionary(blueprints: DataFrame, sources: DataFrame) -> Dictionary:
+    """The constants of blueprints (path, key, value) and source texts (path, ext, text); the first writer of a name
+    wins: blueprints before sources, then by path, then in the text's order."""
+    cpp = sources.where(F.col("ext").isin("hpp", "cpp"))
+    return Dictionary(merge_first(cpp_pairs(blueprints, cpp)), merge_first(asm_pairs(sources.where(F.col("ext").isin("mac", "asm")))))
+
+
+def get_dictionary(spark: SparkSession, blueprint_dir: str, source_dir: str, root: str | None = None) -> Dictionary:
+    """The dictionary of two folders, built once for each state of their files and kept as tables."""
+    from backtrail.sources import cache, files
+
+    listing = files.list_files(spark, blueprint_dir, files.BLUEPRINTS).unionAll(files.list_files(spark, source_dir, files.SOURCES))
+    salt = cache.fingerprint(listing)
+    built: list[Dictionary] = []
+
+    def part(which: str) -> DataFrame:
+        if not built:
+            built.append(dictionary(files.enum_blueprints(spark, blueprint_dir), files.read_texts(spark, source_dir)))
+        return getattr(built[0], which)
+
+    name = f"constants-{posixpath.basename(source_dir.rstrip('/'))}"
+    keep_ = lambda which: cache.cached(spark, f"{name}-{which}", f"{blueprint_dir}|{source_dir}|{salt}", lambda: part(which), root)
+    return Dictionary(keep_("cpp"), keep_("asm"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
-from backtrail.operators import sequence
+from backtrail.operators import graph, sequence
 
 
 def or_of_sites(sites: DataFrame) -> DataFrame:
@@ -168,3 +168,53 @@ def edge_guards(edges: DataFrame, guards: DataFrame, prefix: DataFrame, local: D
     own = lambda df, n: df.select("path", F.lit(n).alias("section"), "seq", "text")
     rows = own(prefix, 0).unionAll(middle).unionAll(own(local, 2))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("section", "seq", "text")))
+
+
+def block_conditions(flow: DataFrame, edges: DataFrame, points: DataFrame, max_levels: int, file_edges: int = graph.FILE_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(conditions (id, seq, block, depth, condition, polarity, test, branch, line, end_line), truncated (id,
+    truncated)) of reaching points (id, file, block, line), by the blocks' instructions (file, block, line, inst, args, kind)
+    and control flow (file, src, dst).
+
+    First the pairs of test and branch in the point's own block before its line, which weren't taken; then those of blocks
+    that dominate it, nearest first, then by block, if exactly one of their arms leads to the point. Pairs of one block keep
+    their order. truncated: a dominating block lies deeper than max_levels.
+    """
+    flow = flow.withColumn("key", F.struct("file", "block"))
+    found = sequence.trigger_pairs(flow.select(F.col("key").alias("block"), "line", "kind"))
+    at = flow.select(F.col("key").alias("block"), "line", "inst", "args")
+    pairs = found.join(at.select("block", F.col("line").alias("trigger_line"), F.col("inst").alias("test"), F.col("args").alias("test_args")), ["block", "trigger_line"])
+    pairs = pairs.join(at.select("block", "line", F.col("inst").alias("branch"), F.col("args").alias("branch_args")), ["block", "line"]).select("block.file", "block.block", "trigger_line", "line", "test", "test_args", "branch", "branch_args")
+    pairs = pairs.withColumn("target", X.branch_target(F.col("branch_args")))
+    over = graph.keep(graph.ancestry(edges, points.select("file", F.col("block").alias("target")), file_edges), "ancestry")
+    named = pairs.select("file", F.col("block").alias("node"), F.col("target").alias("branch")).distinct()
+    gate = graph.gates(over, edges, named, max_levels).withColumnRenamed("branch", "arm")
+    here = points.select("id", "file", "block", F.col("line").alias("before"))
+    own = here.join(pairs, ["file", "block"]).where("before = 0 or line < before").select("id", F.lit(0).alias("depth"), "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", F.lit(False).alias("taken"))
+    other = here.withColumnRenamed("block", "at").join(gate, (here["file"] == gate["file"]) & (F.col("at") == gate["target"])).select("id", here["file"], gate["node"].alias("block"), "arm", "depth", "taken")
+    other = other.join(pairs.withColumnRenamed("target", "arm"), ["file", "block", "arm"]).select("id", "depth", "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", "taken")
+    raw = lambda inst, args: F.concat_ws(" ", inst, F.when(F.size(args) > 0, F.array_join(args, ", ")))
+    rows = own.unionAll(other)
+    rows = rows.select(
+        "id", "depth", "block", X.predicate(F.col("test"), F.col("test_args"), F.col("branch"), F.col("taken")).alias("condition"), F.col("taken").alias("polarity"),
+        raw("test", "test_args").alias("test"), raw("branch", "branch_args").alias("branch"), F.col("trigger_line").alias("line"), F.col("line").alias("end_line"),
+    )
+    cut = over.where("dominates").where(F.col("depth") > max_levels).select("file", F.col("target").alias("block")).distinct().withColumn("truncated", F.lit(True))
+    flags = points.select("id", "file", "block").join(cut, ["file", "block"], "left").select("id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    return sequence.renumber(rows, ["id"], ["depth", "block", "end_line"]), flags
+
+
+def not_set_conditions(setters: DataFrame, conditions: DataFrame, truncated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conditions (group, seq, setter, line, text), status (group, status)) of a variable not being set in a
+    module, from its setters (group, id, line) and what block_conditions() returns for these ids. Only where the status is
+    ok there are conditions."""
+    args = lambda c: X.operands(F.regexp_extract(c, r"^\S+\s+(.*)$", 1))
+    inst = lambda c: F.upper(F.element_at(F.split(c, r"\s+"), 1))
+    no_args = F.array().cast("array<string>")
+    operands = F.when(F.rlike("test", F.lit(r"\s")), args("test")).otherwise(no_args)
+    flipped = F.when(F.col("test").isNotNull() & F.col("polarity").isNotNull(), X.predicate(inst("test"), operands, inst("branch"), ~F.col("polarity")))
+    each = setters.join(conditions.select("id", "seq", "condition", "polarity", "test", "branch"), "id").withColumn("negated", X.negate(F.trim("condition"), flipped))
+    counted = setters.join(conditions.groupBy("id").agg(F.count("*").alias("guards"), F.min("test").alias("raw"), F.min("polarity").alias("polarity")), "id", "left").join(truncated, "id", "left")
+    status = not_set_status(counted.select(F.col("group").alias("id"), F.col("id").alias("setter"), "line", F.coalesce("guards", F.lit(0)).alias("guards"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "raw", "polarity"))
+    ok = status.where("status = 'ok'").select("id")
+    texts = not_set(each.select(F.col("group").alias("id"), F.col("id").alias("setter"), "line", F.col("seq").alias("pos"), "negated").join(ok, "id", "left_semi"))
+    return texts.withColumnRenamed("id", "group"), status.withColumnRenamed("id", "group")

@@ -80,6 +80,56 @@ def evidence(sources: DataFrame, db: tuple[str, ...] = DB_READ_MARKERS, user: tu
     return rows.select("stem", "db_read", "user_input", tokens.alias("tokens"))
 
 
+def stem_evidence(readers: DataFrame, homes: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, db_read, input_read, db_stems, input_stems) of the names that some stem tells something of: the stems that
+    read them (name, stem) or are their home (name, stem), where evidence() found a marker."""
+    stems = readers.select("name", "stem").unionAll(homes.select("name", "stem")).where("stem is not null").distinct()
+    hit = stems.join(found.select("stem", (F.size("db_read") > 0).alias("db"), (F.size("user_input") > 0).alias("input")), "stem")
+    return hit.groupBy("name").agg(
+        F.max("db").alias("db_read"), F.max("input").alias("input_read"), F.array_sort(F.collect_set(F.when(F.col("db"), F.col("stem")))).alias("db_stems"), F.array_sort(F.collect_set(F.when(F.col("input"), F.col("stem")))).alias("input_stems")
+    )
+
+
+def token_evidence(sections: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, token_stem): the first stem that reads a database and names one of the sections (name, section) that a
+    field belongs to, in capitals."""
+    tokens = found.where(F.size("db_read") > 0).select("stem", F.explode("tokens").alias("section"))
+    wanted = sections.where("section <> ''").select("name", F.upper("section").alias("section")).distinct()
+    return wanted.join(tokens, "section").groupBy("name").agg(F.min("stem").alias("token_stem"))
+
+
+def classify_nodes(nodes: DataFrame, readers: DataFrame, sections: DataFrame, found: DataFrame, cpp: DataFrame, asm: DataFrame, callees: DataFrame, markers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Nodes (name, external, member, member_name, home) with class, evidence and missing, the modules that
+    are absent and that the files which read a name call: for external and unresolved names only, all of them, in order.
+
+    readers (name, stem), sections (name, section), found: what evidence() returns, cpp and asm: constants (key), callees
+    (stem, callee): calls into missing modules."""
+    homes = nodes.select("name", F.lower("home").alias("stem"))
+    rows = nodes.join(stem_evidence(readers, homes, found), "name", "left").join(token_evidence(sections, found), "name", "left")
+    rows = rows.withColumn("upper", F.upper("name"))
+    rows = rows.join(asm.select(F.upper("key").alias("upper"), F.lit(True).alias("asm_constant")).distinct(), "upper", "left").join(cpp.select(F.col("key").alias("name"), F.lit(True).alias("cpp_constant")).distinct(), "name", "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    rows = rows.select("name", no("external"), no("asm_constant"), no("cpp_constant"), no("member"), "member_name", no("db_read"), F.col("token_stem").isNotNull().alias("db_tokens"), no("input_read"), "db_stems", "input_stems", "token_stem")
+    judged = classify(rows, markers)
+    absent = readers.select("name", "stem").join(callees.select("stem", "callee"), "stem").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("callee")), ",").alias("missing"))
+    stems = F.when((F.col("class") == "database") & F.col("db_read"), F.array_join("db_stems", ",")).when(F.col("class") == "database", F.col("token_stem")).when((F.col("class") == "user_input") & F.col("input_read"), F.array_join("input_stems", ","))
+    return judged.join(absent, "name", "left").select("name", "class", stems.alias("evidence"), F.when(F.col("class").isin("external", "unresolved"), F.col("missing")).alias("missing"))
+
+
+def missing_references(classified: DataFrame) -> DataFrame:
+    """A5: (name) a row for each terminal that may be defined in a missing module; classified holds names joined by commas."""
+    return classified.where("missing is not null").select(F.explode(F.split("missing", ",")).alias("name"))
+
+
+def unknown_functions(edges: DataFrame, blueprints: DataFrame) -> DataFrame:
+    """Edges (stem, fn, callee_stem, callee_fn) of the function graph whose target is neither a caller, nor in a file
+    with callers, nor in one with a blueprint (stem); a row for each edge, repeated ones too."""
+    callers = edges.select(F.col("stem").alias("callee_stem"), F.col("fn").alias("callee_fn")).distinct()
+    stems = edges.select(F.lower("stem").alias("low")).unionAll(blueprints.select(F.lower("stem").alias("low"))).distinct()
+    left = edges.join(callers, ["callee_stem", "callee_fn"], "left_anti")
+    return left.withColumn("low", F.lower("callee_stem")).join(stems, "low", "left_anti").select("stem", "fn", "callee_stem", "callee_fn")
+
+
 def fold_nodes(entries: DataFrame) -> DataFrame:
     """Entries (name, seq, qualified, terminal): a node for each name, with the first entry's attributes; it is
     terminal if all are."""
@@ -96,10 +146,12 @@ def terminal_counts(terminals: DataFrame) -> DataFrame:
     return terminals.groupingSets([["chain", "class"], ["class"]], "chain", "class").agg(F.count("*").alias("n"))
 
 
-def missing_rank(references: DataFrame, k: int) -> DataFrame:
-    """A5, O3: the k names (name, linkage) that most terminals point at, and what they may be."""
+def missing_rank(references: DataFrame, k: int | None) -> DataFrame:
+    """A5, O3: the k names (name, linkage) that most terminals point at, all if k is None, and what they may be."""
     counted = references.groupBy("name").agg(F.count("*").alias("n"), F.max("linkage").alias("linkage"))
-    return counted.orderBy(F.desc("n"), "name").limit(k).select("name", "n", X.missing_kind(F.col("name"), F.col("linkage")).alias("kind"))
+    if k is not None:
+        counted = counted.orderBy(F.desc("n"), "name").limit(k)
+    return counted.select("name", "n", X.missing_kind(F.col("name"), F.col("linkage")).alias("kind"))
 
 
 def removable_ancestors(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
+from backtrail.operators import sequence
 
 
 def location(file: Column, start: Column, end: Column | None = None) -> Column:
@@ -48,9 +49,11 @@ def with_certainty(rows: DataFrame) -> DataFrame:
 def hop_guards(guards: DataFrame) -> DataFrame:
     """X11: guards of hops (hop, seq, text, test, branch, args, note, block): plain texts with white space collapsed; a test and
     a branch as a predicate, taken iff the branch names the hop's block; notes are left out."""
-    taken = X.branch_target(F.col("args")) == F.upper("block")
-    text = F.when(F.col("text").isNotNull(), X.guard_text(F.col("text"))).otherwise(X.predicate(F.element_at(F.split("test", " "), 1), X.operands(F.regexp_extract("test", r"^\S+\s+(.*)$", 1)), F.col("branch"), taken))
-    return guards.where("note is null").select("hop", "seq", text.alias("text"))
+    taken = F.coalesce(X.branch_target(F.col("args")) == F.upper("block"), F.lit(False))
+    operands = F.when(F.rlike(F.trim("test"), F.lit(r"\s")), X.operands(F.regexp_extract(F.trim("test"), r"^\S+\s+(.*)$", 1))).otherwise(F.array().cast("array<string>"))
+    text = F.when(F.col("text").isNotNull(), X.guard_text(F.col("text"))).otherwise(X.predicate(F.upper(F.element_at(F.split(F.trim("test"), r"\s+"), 1)), operands, F.upper("branch"), taken))
+    known = F.col("text").isNotNull() | (F.col("test").isNotNull() & F.col("branch").isNotNull())
+    return guards.where(F.coalesce("note", F.lit("")) == "").where(known).select("hop", "seq", text.alias("text"))
 
 
 def reader_stems(dependencies: DataFrame, setters: DataFrame | None = None) -> DataFrame:
@@ -67,6 +70,29 @@ def label_routes(routes: DataFrame, inner: DataFrame) -> DataFrame:
     return hops.groupBy("route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda h: h["label"]), " > ").alias("route_text"))
 
 
+def hinted(setters: DataFrame, hints: DataFrame) -> DataFrame:
+    """Setters (fn, block, ...) whose function or block is what some hint (hint) names, qualified by more scopes or not."""
+    wanted = hints.where("hint <> ''").select("hint").distinct()
+    rows = setters.withColumn("_row", F.struct(*setters.columns))
+    names = F.array_union(X.suffixes(F.coalesce("fn", F.lit(""))), X.suffixes(F.coalesce("block", F.lit(""))))
+    hit = rows.select("_row", F.explode(names).alias("hint")).join(wanted, "hint", "left_semi").groupBy("_row").agg(F.lit(True).alias("hit"))
+    kept = rows.join(hit, "_row", "left_semi")
+    return kept.select(setters.columns)
+
+
+def spans(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Functions (stem, fn) with first_line and last_line of their statements (stem, fn, line); 0 without any."""
+    ends = lines.where("line > 0").groupBy("stem", "fn").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    return functions.select("stem", "fn").distinct().join(ends, ["stem", "fn"], "left").na.fill(0, ["first_line", "last_line"])
+
+
+def first_rows(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key, and whether there are more (truncated). The cut is made before the shuffle
+    where Spark can, and the count is pre-aggregated."""
+    first = sequence.renumber(rows, key, order, "_n").where(F.col("_n") <= n).drop("_n")
+    return first.join(rows.groupBy(*key).agg((F.count("*") > n).alias("truncated")), key)
+
+
 def prefer(first: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     """All rows of first, and those of other whose key first doesn't have."""
     return first.unionByName(other.join(first.select(*key).distinct(), key, "left_anti"))

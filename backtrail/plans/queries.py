@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
-from backtrail.operators import constants, graph, guards, lineage, sequence
+from backtrail.operators import constants, graph, guards, lineage, projections, sequence
+from backtrail.plans import job
 from backtrail.plans.fixtures import SQL as VIEWS
 from backtrail.plans.fixtures import Fixtures
 from backtrail.plans.trace import Bounds, Inputs, Trace, lineage_graph, trace_chains
+from backtrail.sources import cache
 from backtrail.sources.scratch import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +221,18 @@ def prefix_hops(fx):
     return hops.join(calls, ["label", "next"], "left").select("chain", "pos", "label", "next", "line", F.col("line").isNull().alias("unverified"))
 
 
+@query(
+    """, r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM fx_call JOIN r ON src = node WHERE line % 3 = 0), u(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM fx_call JOIN u ON src = node)
+SELECT variable, stem, line, stem NOT IN (SELECT node FROM r) AS via_unverified FROM fx_setter WHERE stem IN (SELECT node FROM u)""",
+    True,
+)
+def triage_setters(fx):
+    """Setters in files that verified calls reach, and those that only unverified calls reach, which are flagged."""
+    verified = graph.reach(nodes(fx, 0), fx.call().where("line % 3 = 0")).select(F.col("node").alias("stem"))
+    some = graph.reach(nodes(fx, 0), fx.call()).select(F.col("node").alias("stem"))
+    return projections.triage(fx.setter().drop("value"), verified, some)
+
+
 # --- predicates and guards ---
 
 TESTS = ["CLI", "CLC", "C", "TM", "LTR", "ICM", "OC", "XC", "TMY"]
@@ -542,13 +556,12 @@ def marker_scan(fx):
 
 
 @query(
-    """ SELECT o_custkey AS path, count(*) AS files, sum(CAST('0x' || substr(sha256(o_orderkey || ':' || o_orderstatus), 1, 12) AS BIGINT)) AS fingerprint FROM orders GROUP BY o_custkey"""
+    """ SELECT o_custkey AS path, count(*) AS files, CAST(sum(CAST('0x' || substr(sha256(o_orderkey || '|' || o_orderstatus), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM orders GROUP BY o_custkey"""
 )
 def fingerprint(fx):
     """A digest of the (name, state) pairs of each folder's files, whatever their order; sums need no sorted list."""
-    entry = F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus")
-    digest = F.conv(F.substring(F.sha2(entry, 256), 1, 12), 16, 10).cast("bigint")
-    return fx.table("orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("files"), F.sum(digest).alias("fingerprint"))
+    one = cache.entry_digest(F.col("o_orderkey").cast("string"), "o_orderstatus")
+    return fx.table("orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("files"), F.sum(one).cast("string").alias("fingerprint"))
 
 
 # --- names and sets ---
@@ -615,22 +628,26 @@ def label_parts(fx):
 SELECT 'both' AS part, x FROM (SELECT x FROM a INTERSECT SELECT x FROM b) UNION ALL SELECT 'left', x FROM (SELECT x FROM a EXCEPT SELECT x FROM b) UNION ALL SELECT 'right', x FROM (SELECT x FROM b EXCEPT SELECT x FROM a)"""
 )
 def set_ops(fx):
-    """U-3, U-4: files that call, that set, and that do both."""
+    """U-3, U-4: files that call, that set, and that do both; Spark's own set operators are the implementation."""
     a, b = fx.call().select(F.col("src").alias("x")), fx.setter().where("line % 5 = 0").select(F.col("stem").alias("x"))
     tag = lambda name, df: df.select(F.lit(name).alias("part"), "x")
     return tag("both", a.intersect(b)).unionAll(tag("left", a.subtract(b))).unionAll(tag("right", b.subtract(a)))
 
 
 @query(
-    """, s AS (SELECT stem, line, p_name AS fn FROM fx_setter JOIN part ON p_partkey = line % 200), h AS (SELECT DISTINCT p_name AS hint FROM part WHERE p_partkey % 37 = 0)
-SELECT stem, line, fn FROM s WHERE fn IN (SELECT hint FROM h) AND NOT contains(fn, '::')"""
+    """, s AS (SELECT stem, line, CASE line % 3 WHEN 0 THEN 'A::' WHEN 1 THEN 'B::A::' ELSE '' END || p_name AS fn, CASE WHEN line % 10 = 0 THEN p_brand END AS block FROM fx_setter JOIN part ON p_partkey = line % 200),
+h AS (SELECT DISTINCT p_name AS hint FROM part WHERE p_partkey % 37 = 0 UNION SELECT 'A::' || p_name FROM part WHERE p_partkey % 41 = 0 UNION SELECT min(p_brand) FROM part UNION SELECT '')
+SELECT stem, line, fn, block FROM s WHERE EXISTS (SELECT 1 FROM h WHERE hint <> '' AND (fn = hint OR ends_with(fn, '::' || hint) OR block = hint OR ends_with(block, '::' || hint)))"""
 )
 def hint_filter(fx):
-    """Setters in a function that some hint names."""
-    part = fx.table("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("fn"))
-    setters = fx.setter().withColumn("k", F.col("line") % 200).join(part, "k").select("stem", "line", "fn")
-    hints = fx.table("part").where("p_partkey % 37 = 0").select(F.col("p_name").alias("fn")).distinct()
-    return setters.join(hints, "fn", "left_semi").where(~F.col("fn").contains("::")).select("stem", "line", "fn")
+    """Setters in a function or block that some hint names, qualified or not."""
+    part = fx.table("part")
+    scope = F.when(F.col("line") % 3 == 0, "A::").when(F.col("line") % 3 == 1, "B::A::").otherwise("")
+    named = fx.setter().withColumn("k", F.col("line") % 200).join(part.select(F.col("p_partkey").alias("k"), "p_name", "p_brand"), "k")
+    setters = named.select("stem", "line", F.concat(scope, "p_name").alias("fn"), F.when(F.col("line") % 10 == 0, F.col("p_brand")).alias("block"))
+    hints = part.where("p_partkey % 37 = 0").select(F.col("p_name").alias("hint")).unionAll(part.where("p_partkey % 41 = 0").select(F.concat(F.lit("A::"), "p_name")))
+    hints = hints.unionAll(part.agg(F.min("p_brand"))).unionAll(fx.spark.range(1).select(F.lit("")))
+    return projections.hinted(setters, hints)
 
 
 OPERANDS = ["TABLE+8 FIRST ROW OF IT", "C'P Q' Y", "NAME9 '  Z", "   LEFT  ", " B'0110' ", "R5", "A", "\t W\tis here", "x'  open"]
@@ -662,14 +679,13 @@ def definitions(fx):
 
 
 @query(
-    """, g AS (SELECT p_partkey % n AS stem, p_name AS fn, min(7 * p_partkey) AS first_line, max(7 * p_partkey) AS last_line FROM part, fx_n GROUP BY ALL)
-SELECT stem, fn, first_line, last_line, CAST(row_number() OVER (PARTITION BY stem ORDER BY first_line) AS INT) AS seq FROM g"""
+    """, g AS (SELECT p_partkey % n AS stem, p_name AS fn, coalesce(min(p_partkey) FILTER (WHERE p_size % 4 <> 0 AND p_partkey > 0), 0) AS first_line, coalesce(max(p_partkey) FILTER (WHERE p_size % 4 <> 0 AND p_partkey > 0), 0) AS last_line FROM part, fx_n GROUP BY ALL)
+SELECT stem, fn, first_line, last_line, CAST(row_number() OVER (PARTITION BY stem ORDER BY first_line, fn) AS INT) AS seq FROM g"""
 )
 def fn_span(fx):
-    """First and last line of each function, numbered in a file's order."""
-    rows = fx.table("part").select((F.col("p_partkey") % fx.n).alias("stem"), F.col("p_name").alias("fn"), (7 * F.col("p_partkey")).alias("line"))
-    spans = rows.groupBy("stem", "fn").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-    return sequence.renumber(spans, ["stem"], ["first_line"])
+    """First and last line of each function, 0 for those without any, numbered in a file's order."""
+    rows = fx.table("part").select((F.col("p_partkey") % fx.n).alias("stem"), F.col("p_name").alias("fn"), F.col("p_partkey").alias("line"), "p_size")
+    return sequence.renumber(projections.spans(rows, rows.where("p_size % 4 <> 0")), ["stem"], ["first_line", "fn"])
 
 
 @query(
@@ -677,9 +693,7 @@ def fn_span(fx):
 )
 def chain_limit(fx):
     """The first 10 setters of each variable, and whether there are more (the limit is the feature)."""
-    rows = fx.setter()
-    first = sequence.renumber(rows, ["variable"], ["line"], "k").where("k <= 10")
-    return first.join(rows.groupBy("variable").agg((F.count("*") > 10).alias("truncated")), "variable").select("variable", "stem", "line", "truncated")
+    return projections.first_rows(fx.setter(), ["variable"], ["line"], 10).select("variable", "stem", "line", "truncated")
 
 
 # --- constants ---
@@ -719,6 +733,95 @@ def const_lookup(fx):
     return constants.resolve_tokens(texts, known, known).select("id", "name", "value")
 
 
+HOPS = """, pr AS (SELECT o_orderkey AS hop, o_custkey AS chain, 's' || (o_orderkey % n) AS stem, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'f' || (o_orderkey % 3) END AS function, CASE WHEN o_orderkey % 5 = 0 THEN 'asm' ELSE 'cpp' END AS file_type FROM orders, fx_n),
+cl AS (SELECT DISTINCT 's' || (p_partkey % n) AS stem, 'f' || (p_partkey // n % 3) AS fn, CASE p_partkey // n % 4 WHEN 0 THEN 'A::' WHEN 1 THEN 'B::A::' WHEN 2 THEN '' ELSE 'q' END || 'g' || (p_partkey % 6) AS callee, p_size AS line FROM part, fx_n),
+fu AS (SELECT DISTINCT 's' || (p_partkey % n) AS stem, CASE p_partkey // n % 2 WHEN 0 THEN 'A::' ELSE '' END || 'g' || (p_partkey // n % 6) AS fn FROM part, fx_n),
+ow AS (SELECT DISTINCT 'G' || (p_partkey % 6) AS name, 's' || (p_partkey % n) AS stem FROM part, fx_n WHERE p_partkey // n % 2 = 0),
+nx AS (SELECT *, lead(stem) OVER w AS next_stem, lead(file_type) OVER w AS next_type, coalesce(lead(function) OVER w, '') AS next_function FROM pr WINDOW w AS (PARTITION BY chain ORDER BY hop)),
+si AS (SELECT DISTINCT x.hop, x.chain, x.stem, x.next_stem, c.line FROM nx x JOIN cl c ON c.stem = x.stem WHERE x.next_stem IS NOT NULL AND x.file_type = 'cpp' AND (coalesce(x.function, '') = '' OR c.fn = x.function) AND CASE
+  WHEN next_function <> '' THEN callee = next_function OR ends_with(callee, '::' || next_function)
+  WHEN next_type = 'cpp' THEN EXISTS (SELECT 1 FROM fu WHERE fu.stem = x.next_stem AND (callee = fu.fn OR ends_with(callee, '::' || fu.fn) OR ends_with(fu.fn, '::' || callee)))
+  ELSE EXISTS (SELECT 1 FROM ow WHERE ow.stem = x.next_stem AND ow.name = upper(callee)) END)"""
+
+
+def chain_hops(fx):
+    """(hops, calls, functions, owners) of chains: files s0 to s(n-1) with functions f0 to f2 that call g0 to g5."""
+    n, key, part = fx.n, F.col("o_orderkey"), F.col("p_partkey")
+    parts, nth = fx.table("part"), F.floor(part / n)
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    function = F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, "").otherwise(named("f", key % 3))
+    hops = fx.table("orders").select(F.col("o_custkey").alias("chain"), key.alias("pos"), named("s", key % n).alias("stem"), F.when(key % 5 == 0, "asm").otherwise("cpp").alias("file_type"), function.alias("function"))
+    stem = named("s", part % n).alias("stem")
+    calls = parts.select(stem, named("f", nth % 3).alias("fn"), F.concat(text_case(nth % 4, ["A::", "B::A::", "", "q"]), named("g", part % 6)).alias("callee"), F.col("p_size").alias("line")).distinct()
+    functions = parts.select(stem, F.concat(text_case(nth % 2, ["A::", ""]), named("g", nth % 6)).alias("fn")).distinct()
+    return hops, calls, functions, parts.where(nth % 2 == 0).select(named("G", part % 6).alias("name"), stem).distinct()
+
+
+@query(HOPS + " SELECT hop, line FROM si")
+def entering_sites(fx):
+    """Lines at which a chain's C++ files enter the next one: by its function, its functions, or its entry names."""
+    hops, calls, functions, owners = chain_hops(fx)
+    w = Window.partitionBy("chain").orderBy("pos")
+    following = [F.lead(a).over(w).alias(b) for a, b in (("stem", "next_stem"), ("file_type", "next_type"), ("function", "next_function"))]
+    pairs = hops.select(F.col("pos").alias("hop"), "stem", "function", "file_type", *following).where("next_stem is not null and file_type = 'cpp'")
+    return guards.entering_sites(pairs, calls, functions, owners)
+
+
+@query(
+    HOPS
+    + """, sg AS (SELECT 's' || (p_partkey % n) AS stem, p_size AS line, p_partkey AS seq, 'w' || (p_partkey % 8) AS text FROM part, fx_n WHERE p_partkey // n % 3 <> 0),
+e AS (SELECT hop, chain, si.stem, next_stem, si.line, count(text) AS n, string_agg(text, ' && ' ORDER BY seq) AS text FROM si LEFT JOIN sg ON sg.stem = si.stem AND sg.line = si.line GROUP BY ALL),
+h AS (SELECT hop, chain, stem, next_stem, min(line) AS first, max(line) AS last, count(*) AS sites, bool_or(n = 0) AS open, string_agg(CASE WHEN n > 1 THEN '(' || text || ')' ELSE text END, ' || ' ORDER BY line) AS text FROM e GROUP BY ALL),
+g AS (SELECT chain, hop AS seq, 1 AS pos, text, stem || '→' || next_stem AS via, first AS line FROM h WHERE sites > 1 AND NOT open
+  UNION ALL SELECT h.chain, h.hop, sg.seq, sg.text, h.stem || '→' || h.next_stem, h.first FROM h JOIN sg ON sg.stem = h.stem AND sg.line = h.first WHERE sites = 1),
+az AS (SELECT x.hop, x.chain, x.stem, arg_min(p_size, p_partkey) AS line FROM nx x, fx_n JOIN part ON 's' || (p_partkey % n) = x.stem AND 's' || ((p_partkey // n * 7 + 1) % n) = x.next_stem WHERE x.file_type = 'asm' GROUP BY ALL),
+b AS (SELECT chain, stem, max(line) AS bound FROM (SELECT chain, stem, last AS line FROM h UNION ALL SELECT chain, stem, line FROM az) GROUP BY ALL)
+SELECT 'guard' AS kind, chain, seq, pos, text, via, line FROM g UNION ALL SELECT 'bound', chain, NULL, NULL, stem, NULL, bound FROM b"""
+)
+def prefix_guards(fx):
+    """What must hold to descend chains, and the line at which each file is left."""
+    part, n = F.col("p_partkey"), fx.n
+    stem = F.concat(F.lit("s"), (part % n).cast("string")).alias("stem")
+    sites = fx.table("part").where(F.floor(part / n) % 3 != 0).select(stem, F.col("p_size").alias("line"), part.alias("seq"), F.concat(F.lit("w"), (part % 8).cast("string")).alias("text"))
+    direct = fx.table("part").select(stem, F.concat(F.lit("s"), ((F.floor(part / n) * 7 + 1) % n).cast("string")).alias("next_stem"), part.alias("pos"), F.col("p_size").alias("line"))
+    found, bounds = guards.prefix_guards(*chain_hops(fx), sites, direct)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = found.select(F.lit("guard").alias("kind"), "chain", "seq", "pos", "text", "via", "line")
+    return rows.unionAll(bounds.select(F.lit("bound"), "chain", none("bigint"), none("bigint"), "stem", none("string"), "bound"))
+
+
+BLOCK_TESTS = ["CLI", "TM", "LTR", "OC"]
+
+
+@query(
+    FILES
+    + f""", ev AS (SELECT user_id % n AS node, event_id AS line, CASE WHEN event_type IN ('click', 'view') THEN 'T' WHEN event_type = 'purchase' THEN 'C' WHEN event_type = 'error' THEN 'U' ELSE 'O' END AS kind,
+  {sql_case(f'event_id % {len(BLOCK_TESTS)}', BLOCK_TESTS)} AS test, {sql_case(f'event_id % {len(BRANCHES)}', BRANCHES)} AS branch, user_id % n // 8 * 8 + event_id % 8 AS goal, ['F' || (event_id % 3), 'M'] AS args FROM events, fx_n),
+lg AS (SELECT *, lag(kind) OVER w AS before_kind, lag(line) OVER w AS trigger_line, lag(test) OVER w AS t_test, lag(args) OVER w AS t_args FROM ev WHERE kind IN ('T', 'C', 'U') WINDOW w AS (PARTITION BY node ORDER BY line)),
+pr AS (SELECT node, trigger_line, line, t_test AS test, branch, goal, t_args AS args, t_args[1] AS a0, t_args[2] AS a1 FROM lg WHERE kind = 'C' AND before_kind = 'T'),
+arm AS (SELECT d.file, d.target, d.node, d.depth, pr.line, bool_or(e.dst = pr.goal AND x.node IS NOT NULL) AS named, bool_or(e.dst <> pr.goal AND x.node IS NOT NULL) AS other
+  FROM dom d JOIN pr ON pr.node = d.node JOIN e ON e.file = d.file AND e.src = d.node LEFT JOIN before x ON x.file = d.file AND x.target = d.target AND x.node = e.dst WHERE d.depth <= 2 GROUP BY ALL),
+al AS (SELECT t.target AS id, 0 AS depth, pr.*, false AS taken FROM target t JOIN pr ON pr.node = t.target AND pr.line < 1000
+  UNION ALL SELECT arm.target, arm.depth, pr.*, arm.named FROM arm JOIN pr ON pr.node = arm.node AND pr.line = arm.line WHERE named <> other)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY depth, 'N' || node, line) AS INT) AS seq, 'N' || node AS block, {predicate_sql('taken')} AS condition, taken AS polarity, trigger_line AS line, line AS end_line,
+  EXISTS (SELECT 1 FROM dom WHERE dom.target = id AND dom.depth > 2) AS truncated FROM al""",
+    True,
+)
+def block_conditions(fx):
+    """The conditions of reaching a line of each group's middle block, nearest first."""
+    edges, targets = small_graphs(fx)
+    name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    node, key = F.col("user_id") % fx.n, F.col("event_id")
+    kind = F.when(F.col("event_type").isin("click", "view"), "T").when(F.col("event_type") == "purchase", "C").when(F.col("event_type") == "error", "U").otherwise("O")
+    goal = F.concat(F.lit("N"), (F.floor(node / 8) * 8 + key % 8).cast("string"))
+    inst = F.when(kind == "C", text_case(key % len(BRANCHES), BRANCHES)).otherwise(text_case(key % len(BLOCK_TESTS), BLOCK_TESTS))
+    args = F.when(kind == "C", F.array(goal)).otherwise(F.array(F.concat(F.lit("F"), (key % 3).cast("string")), F.lit("M")))
+    flow = fx.table("events").select(F.floor(node / 8).alias("file"), F.concat(F.lit("N"), node.cast("string")).alias("block"), key.alias("line"), inst.alias("inst"), args.alias("args"), kind.alias("kind"))
+    points = targets.select(F.col("target").alias("id"), "file", name("target").alias("block"), F.lit(1000).cast("bigint").alias("line"))
+    found, flags = guards.block_conditions(flow, edges.select("file", name("src").alias("src"), name("dst").alias("dst")), points, 2)
+    return found.join(flags, "id").select("id", "seq", "block", "condition", "polarity", "line", "end_line", "truncated")
+
+
 # --- traces ---
 
 SET_VALUES = ["E::A", "E::B", "A", "f(E::B)", "x y", "Q::A"]
@@ -795,3 +898,77 @@ FROM dm LEFT JOIN ed ON ed.chain = dm.chain AND ed.variable = dm.variable LEFT J
 def trace_nodes(fx):
     """The variables of two traces: root, dependent, terminal, and those beyond the greatest depth."""
     return lineage_graph(traced(fx), "v0")[0]
+
+
+# --- classes of terminals, the dictionary of texts ---
+
+MARKED = ["FINWC", "IMSG", "nothing", "GETFC AM0SG"]
+KNOWN = f""", nd AS (SELECT {sql_case('p_partkey % 6', NAMES)} || p_partkey AS name, p_partkey % 23 = 0 AS external, p_partkey % 2 = 0 AS member, CASE WHEN p_partkey % 2 = 0 THEN {sql_case('p_partkey // 2 % 6', NAMES)} END AS member_name, p_partkey AS p, n FROM part, fx_n),
+rd AS (SELECT DISTINCT name, stem FROM (SELECT name, 's' || (p * 3 % n) AS stem FROM nd UNION ALL SELECT name, 's' || ((p * 5 + 1) % n) FROM nd WHERE p % 3 = 0)),
+hm AS (SELECT name, stem FROM rd UNION SELECT name, 's' || (p % n) FROM nd WHERE p % 4 = 0),
+ev AS (SELECT 's' || s_suppkey AS stem, s_suppkey % 4 IN (0, 3) AS db, s_suppkey % 4 IN (1, 3) AS inp, 'DR' || (s_suppkey % 50) || 'XX' AS token FROM supplier WHERE s_suppkey % 3 <> 1),
+el AS (SELECT name, bool_or(db) AS db, bool_or(inp) AS inp, string_agg(stem, ',' ORDER BY stem) FILTER (WHERE db) AS dbs, string_agg(stem, ',' ORDER BY stem) FILTER (WHERE inp) AS ins FROM hm JOIN ev USING (stem) GROUP BY name),
+tk AS (SELECT name, min(stem) AS stem FROM nd JOIN ev ON db AND token = 'DR' || (p % 50) || 'XX' WHERE member GROUP BY name),
+ca AS (SELECT DISTINCT 's' || src AS stem, 'mo' || (dst % 30 + 10) AS callee FROM fx_call WHERE dst % 3 = 0),
+ms AS (SELECT name, string_agg(DISTINCT callee, ',' ORDER BY callee) AS missing FROM rd JOIN ca USING (stem) GROUP BY name),
+cs AS (SELECT nd.name, el.dbs, el.ins, coalesce(el.db, false) AS db, coalesce(el.inp, false) AS inp, tk.stem AS tks, ms.missing, CASE WHEN external THEN 'external' WHEN p % 13 = 0 OR p % 17 = 0 THEN 'constant'
+  WHEN regexp_matches(upper(nd.name), '^(MI0|AM0)') OR regexp_matches(upper(coalesce(member_name, '')), '^(MI0|AM0)') THEN 'user_input' WHEN regexp_matches(upper(nd.name), '^(EBW|EBX|EBC|CE1|WK_)') THEN 'working_storage'
+  WHEN member AND (coalesce(el.db, false) OR tk.stem IS NOT NULL) THEN 'database' WHEN NOT member AND coalesce(el.inp, false) THEN 'user_input' WHEN member THEN 'record_field' ELSE 'unresolved' END AS class
+  FROM nd LEFT JOIN el USING (name) LEFT JOIN tk USING (name) LEFT JOIN ms USING (name)),
+ct AS (SELECT name, class, CASE WHEN class = 'database' AND db THEN dbs WHEN class = 'database' THEN tks WHEN class = 'user_input' AND inp THEN ins END AS evidence, CASE WHEN class IN ('external', 'unresolved') THEN missing END AS missing FROM cs)"""
+
+
+def judged_terminals(fx):
+    n, key = fx.n, F.col("p_partkey")
+    file = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    name = F.concat(text_case(key % 6, NAMES), key.cast("string")).alias("name")
+    part, supplier, number = fx.table("part"), fx.table("supplier"), F.col("s_suppkey")
+    nodes_ = part.select(name, (key % 23 == 0).alias("external"), (key % 2 == 0).alias("member"), F.when(key % 2 == 0, text_case(F.floor(key / 2) % 6, NAMES)).alias("member_name"), F.when(key % 4 == 0, F.upper(file(key % n))).alias("home"))
+    readers = part.select(name, file(key * 3 % n).alias("stem")).unionAll(part.where(key % 3 == 0).select(name, file((key * 5 + 1) % n))).distinct()
+    sections = part.where(key % 2 == 0).select(name, F.concat(F.lit("dr"), (key % 50).cast("string"), F.lit("xx")).alias("section"))
+    text = F.concat(F.lit("CALL "), text_case(number % 4, MARKED), F.lit("\n DR"), (number % 50).cast("string"), F.lit("XX end"))
+    sources = supplier.select(file(number).alias("stem"), text_case(number % 3, ["asm", "cpp", "mac"]).alias("ext"), text.alias("text"))
+    callees = fx.call().where("dst % 3 = 0").select(file(F.col("src")).alias("stem"), F.concat(F.lit("mo"), (F.col("dst") % 30 + 10).cast("string")).alias("callee")).distinct()
+    cpp, asm = part.where(key % 17 == 0).select(name.alias("key")), part.where(key % 13 == 0).select(F.upper(name).alias("key"))
+    return lineage.classify_nodes(nodes_, readers, sections, lineage.evidence(sources), cpp, asm, callees)
+
+
+@query(KNOWN + " SELECT * FROM ct")
+def job_terminals(fx):
+    """Where the values of terminals come from, by what is known of the files that read
+    them, and which missing modules these call."""
+    return judged_terminals(fx)
+
+
+@query(
+    KNOWN
+    + """, r AS (SELECT unnest(string_split(missing, ',')) AS name FROM ct WHERE missing IS NOT NULL)
+SELECT name, count(*) AS n, CASE WHEN name = 'mo12' THEN 'module' WHEN regexp_matches(name, '[0-9]') THEN 'module' ELSE 'library' END AS kind FROM r GROUP BY name"""
+)
+def missing_callees(fx):
+    """Missing modules by how many terminals they may define."""
+    return job.missing_report(judged_terminals(fx), fx.spark.createDataFrame([("mo12",)], "stem string"))
+
+
+@query(
+    """, t AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS path, p_partkey % 4 AS ext, p_partkey AS p, p_size FROM part),
+pr AS (SELECT 'cpp' AS language, 0 AS rank, 'b' || s_suppkey AS path, 0 AS pos, 0 AS spelling, 'A' || (s_suppkey % 20) AS key, CAST(s_suppkey AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT 'cpp', 1, path, pos, sp, CASE WHEN sp = 0 THEN '' WHEN sp = 1 THEN 'E' || (p % 9) || '::' WHEN sp = 2 THEN 'S::' ELSE 'S::E' || (p % 9) || '::' END || CASE pos WHEN 0 THEN 'A' || (p % 31) WHEN 1 THEN 'B' || (p % 7) ELSE 'C' END,
+    CASE pos WHEN 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size + pos AS VARCHAR) END FROM t, range(3) x(pos), range(4) y(sp) WHERE ext < 2 AND (sp < 2 OR ext = 1)
+  UNION ALL SELECT 'asm', 0, path, 0, 0, 'K' || (p % 13), CAST(p_size AS VARCHAR) FROM t WHERE ext = 2 UNION ALL SELECT 'asm', 0, path, 1, 0, 'V' || (p % 5), 'F''' || p_size || '''' FROM t WHERE ext >= 2)
+SELECT language, key, arg_min(value, struct_pack(a := rank, b := path, c := pos, d := spelling)) AS value, arg_min(path, struct_pack(a := rank, b := path, c := pos, d := spelling)) AS source_path FROM pr GROUP BY language, key"""
+)
+def const_dictionary(fx):
+    """The dictionary of blueprints and of C++ and assembler texts."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    digit = lambda c: c.cast("string")
+    enum = F.concat(F.lit("enum class E"), digit(key % 9), F.lit(" { A"), digit(key % 31), F.lit(" = "), size, F.lit(", // first\n B"), digit(key % 7), F.lit(", /* , X = 3 */ C };"))
+    asm = lambda word: F.concat(F.lit(word), F.lit("V"), digit(key % 5), F.lit("&T DC F'"), size, F.lit("' text"))
+    equ = F.concat(F.lit("k"), digit(key % 13), F.lit(" EQU "), size, F.lit(" note\nW DS CL4\n"))
+    text = F.when(key % 4 == 0, enum).when(key % 4 == 1, F.concat(F.lit("struct S : T { int f(); "), enum, F.lit(" };"))).when(key % 4 == 2, F.concat(equ, asm(""))).otherwise(asm("* note\n"))
+    sources = fx.table("part").select(F.concat(F.lit("p"), F.lpad(digit(key), 8, "0")).alias("path"), text_case(key % 4, ["cpp", "hpp", "asm", "mac"]).alias("ext"), text.alias("text"))
+    number = F.col("s_suppkey")
+    blueprints = fx.table("supplier").where(number % 3 == 0).select(F.concat(F.lit("b"), digit(number)).alias("path"), F.concat(F.lit("A"), digit(number % 20)).alias("key"), digit(number).alias("value"))
+    found = constants.dictionary(blueprints, sources)
+    tag = lambda language, df: df.select(F.lit(language).alias("language"), "key", "value", "source_path")
+    return tag("cpp", found.cpp).unionAll(tag("asm", found.asm))

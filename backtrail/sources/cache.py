@@ -9,28 +9,34 @@ import logging
 import os
 import posixpath
 import time
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from backtrail.sources.scratch import scratch_root
+
 LOG = logging.getLogger("backtrail")
 VERSION = 1
-#: Names the folder of artifacts; else a folder beside the warehouse.
+#: Names the folder of artifacts.
 CACHE_VARIABLE = "BACKTRAIL_CACHE_DIR"
 
 
 def cache_root(spark: SparkSession) -> str:
-    """S23."""
-    return os.environ.get(CACHE_VARIABLE) or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "artifacts")
+    """The folder that the environment names; else one beside the tables that steps write, which all executors share."""
+    return os.environ.get(CACHE_VARIABLE) or posixpath.join(scratch_root(spark), "artifacts")
+
+
+def entry_digest(*parts: Column | str) -> Column:
+    """A number of 60 bits for one file's facts, to be added up."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
 def fingerprint(files: DataFrame, version: int = VERSION) -> str:
     """A digest of names, sizes and times of files (path, length, modificationTime), whatever their order. Each
     file's digest is added up, so nothing is gathered in one place."""
-    one = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(version)), "path", "length", F.unix_micros("modificationTime").cast("string")), 256), 1, 15), 16, 10)
-    row = files.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("s")).first()
+    one = entry_digest(F.lit(str(version)), "path", "length", F.unix_micros("modificationTime").cast("string"))
+    row = files.agg(F.count("*").alias("n"), F.sum(one).alias("s")).first()
     return hashlib.sha256(f"{version}|{row['n']}|{row['s']}".encode()).hexdigest()
 
 
@@ -103,7 +109,3 @@ def phase(spark: SparkSession, name: str):
     finally:
         spark.sparkContext.setJobDescription(None)
         LOG.info("%s took %.1f s", name, time.time() - began)
-
-
-def fresh_folder(root: str) -> str:
-    return posixpath.join(root, uuid.uuid4().hex)
