@@ -24,23 +24,54 @@ def test_url_edges(spark, edges):
     assert (got[6]["rule"], got[6]["verdict"]) == ("net/de/", "allow")
 
 
+def listed_by_cascade(spark, cascade, universe):
+    h1, h2 = url_filter.hashes(F.col("key"))
+    rows = universe.select("key", h1.alias("a"), h2.alias("b")).collect()
+    import pyarrow as pa
+
+    got = cascade.has(np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows]), pa.array([r["key"] for r in rows]))
+    return {r["key"] for r, hit in zip(rows, got, strict=True) if hit}
+
+
 def test_cascade_is_exact(spark):
-    universe = spark.range(6000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
-    listed = universe.where("substr(key, 2) % 5 = 0").unionAll(spark.createDataFrame([("unseen",), (None,)], "key string"))
+    universe = spark.range(30000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where("substr(key, 2) % 5 = 0").unionAll(spark.createDataFrame([("unseen",), (None,), ("",)], "key string"))
     cascade = url_filter.build(universe, listed)
     assert len(cascade.levels) > 1
-    h1, h2 = url_filter._hashes(F.col("key"))
-    rows = universe.select("key", h1.alias("a"), h2.alias("b")).collect()
-    got = cascade.has(np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows]))
-    assert [bool(x) for x in got] == [int(r["key"][1:]) % 5 == 0 for r in rows]
-    assert url_filter.build(universe, listed, max_bytes=10) is None
+    want = {f"h{i}" for i in range(0, 30000, 5)}
+    assert listed_by_cascade(spark, cascade, universe) == want
+    for parts in (2, 7):
+        assert {r["key"] for r in url_filter.listed_by_parts(universe, listed, parts).collect()} == want
+
+
+def test_equal_hashes_end_in_text(spark, monkeypatch):
+    # all keys have one of three fingerprints, so no level parts listed from unlisted ones
+    monkeypatch.setattr(url_filter, "hashes", lambda k: (F.length(k).cast("bigint"), F.lit(7).cast("bigint")))
+    universe = spark.createDataFrame([(k,) for k in ("a", "b", "cc", "dd", "eee")], "key string")
+    listed = spark.createDataFrame([("a",), ("dd",), ("zz",)], "key string")
+    cascade = url_filter.build(universe, listed)
+    assert len(cascade.levels) == url_filter.MAX_LEVELS
+    assert cascade.remainder == {"a", "dd"}
+    assert listed_by_cascade(spark, cascade, universe) == {"a", "dd"}
+    assert {r["key"] for r in url_filter.listed_by_parts(universe, listed, 3, 4).collect()} == {"a", "dd"}
+
+
+def test_levels_hash_anew():
+    r = np.random.default_rng(5)
+    h = r.integers(-(1 << 63), 1 << 63, (2, 4000))
+    a, b = (url_filter.positions(h[0], h[1], level, 32768) for level in (0, 1))
+    same = (a[:, None, 0] == a[None, :400, 0]) & ~np.eye(4000, 400, dtype=bool)
+    x, y = np.nonzero(same)
+    assert len(x) > 10
+    assert (b[x, 0] == b[y, 0]).mean() < 0.2
 
 
-def test_large_lists_are_joined(spark):
+def test_lists_of_any_length(spark):
     rows = spark.createDataFrame([("a.x.com",), ("x.com",), ("y.com",), ("",)], "host string")
-    listed = spark.createDataFrame([("x.com",)], "key string")
+    listed = spark.createDataFrame([("x.com",), ("",), (None,)], "key string")
     for limit in (0, 1 << 20):
-        assert {r["host"]: r["listed"] for r in url_filter.is_listed(rows, listed, limit).collect()} == {"a.x.com": True, "x.com": True, "y.com": False, "": False}
+        assert {r["host"]: r["listed"] for r in url_filter.is_listed(rows, listed, limit, 1).collect()} == {"a.x.com": True, "x.com": True, "y.com": False, "": False}
+    assert not any(r["listed"] for r in url_filter.is_listed(rows, listed.where("key = 'none'")).collect())
 
 
 def plain_sets(texts, k):
