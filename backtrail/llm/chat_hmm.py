@@ -4,8 +4,9 @@ The lines of a conversation are observations, their roles hidden states. A line
 "### Assistant", "<|system|>", ...) or none, and features: whether a message begins with it, its length, its punctuation,
 whether it opens the conversation. Markers may be absent or wrong: transitions and the other features decide as well.
 Viterbi finds the likeliest roles of all lines together; neighbouring lines of one role and message become one turn, whose
-marker is removed and whose rendering is canonical. Probabilities are counted on a bounded number of labelled messages
-(MAX_TRAIN, a parameter); roles are never inputs of a prediction.
+marker is removed and whose rendering is canonical. Probabilities are counted on a bounded number of labelled messages of
+bounded length (MAX_TRAIN, MAX_TRAIN_CHARS, parameters; longer messages aren't learned from); roles are never inputs of a
+prediction.
 
 A conversation may be larger than a task. Messages are range-partitioned by (conversation, turn, text), wherever that
 cuts. Viterbi's step is a product of matrices in the (max, +) semiring, which is associative: one pass gives for each
@@ -15,6 +16,8 @@ result is the same as that of one pass over the whole conversation.
 
 Defined results: messages are ordered by turn (null first), then text; a null text is one empty line; messages without a
 conversation belong together; repeated messages stay repeated. Without any label the roles are system, user and assistant.
+Of equally likely paths the one whose last state is first in the roles' alphabetical order counts, then the one before it,
+and so on. Other columns aren't looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from pyspark.sql import functions as F
 from backtrail.llm.common import scratch_root
 
 MAX_TRAIN = 12_000
+MAX_TRAIN_CHARS = 4000
+#: Characters and messages of a partition, about.
+PART_CHARS, PART_MESSAGES = 16 << 20, 100_000
 ROLES = ("assistant", "system", "user")
 #: Fixed names of speakers.
 SPEAKERS = {
@@ -144,9 +150,10 @@ def render(lines: list[tuple[str, bool]], states: list[int], roles: list[str]) -
     return len(turns), "".join(f"<|{role}|>\n{chr(10).join(text).strip()}\n<|end|>\n" for role, text in turns)
 
 
-def fit(conversations: DataFrame, max_train: int = MAX_TRAIN) -> Hmm:
+def fit(conversations: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Hmm:
     """Learn from labelled messages of conversations outside the held-out fold (remainder 2 of 4)."""
     known = conversations.where("conv_id is not null and role is not null").where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2)
+    known = known.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
     rows = known.select("conv_id", "turn", "text", "role").orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "text").limit(max_train).collect()
     return Hmm.fit([tuple(r) for r in rows])
 
@@ -158,8 +165,10 @@ def parse(messages: DataFrame, hmm: Hmm, partitions: int | None = None) -> DataF
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     rows = messages.select("conv_id", "turn", "text").withColumn("row", F.monotonically_increasing_id())
     order = ["conv_id", "turn", "text", "row"]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row").checkpoint()
+    if partitions is None:
+        seen = messages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        partitions = max(spark.sparkContext.defaultParallelism, seen["n"] // PART_MESSAGES + seen["chars"] // PART_CHARS + 1)
+    rows = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop("row").checkpoint()
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first and the last conversation of this partition: its matrix as if it went on from before, and as if it began."""

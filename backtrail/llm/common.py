@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from backtrail.sources.scratch import keep, scratch_root  # noqa: F401 - for the operators
+
 #: Rows handled at once inside a Python worker; bounds the Python objects alive beside one Arrow batch.
 SLICE_ROWS = 256
 
@@ -27,25 +27,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only where that is unset (tests), a folder is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    root = tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = posixpath.join(scratch_root(df.sparkSession), f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df, f"llm-{name}")
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple[list, ...]]]) -> DataFrame:

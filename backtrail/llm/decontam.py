@@ -6,20 +6,25 @@ items in one pass over a document; around each hit the item is compared with the
 one machine step for each character of the text, with the item's characters as the bits of one integer.
 
 Both sides are lower-cased and their white space is collapsed first, so that layout doesn't hide a leak. Items are
-broadcast in blocks of a fixed size; a larger benchmark takes more passes over the documents, never a larger broadcast.
+broadcast in blocks of a fixed size; a larger benchmark takes more passes over the documents, never a larger broadcast, and
+the answer is the same for every block size.
 
 Defined results: null and empty texts match nothing; an empty item matches nothing; items shorter than 1 / error_rate
-must occur unchanged; repeated documents each get their rows; of repeated items with one id the best match counts.
+must occur unchanged; repeated documents each get their rows. Of several texts with one item_id, and of several places, the
+one with the least distance counts, then the one that starts first, then the one that ends first; items without an id count
+as one item, whose id is null. Rows with a null doc_id stay. Other columns aren't looked at, whatever their names; empty
+tables give no rows, and with an empty benchmark remove_leaks() keeps all documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.llm.common import column, map_rows
+from backtrail.llm.common import column, map_rows, materialise
 
 #: Characters of test items that one pass may broadcast.
 BLOCK_CHARS = 4_000_000
@@ -125,49 +130,70 @@ class Matcher:
             forward, backward = self.pattern(i)
             for a, b in spans:
                 distance, end = forward.search(text[a:b])
-                if distance > k or (item_id in best and best[item_id][1] <= distance):
+                if distance > k or (item_id in best and best[item_id][1] < distance):
                     continue
                 end += a
                 _, back = backward.search(text[max(0, end - len(item) - k) : end][::-1])
-                best[item_id] = (item_id, distance, end - back, end)
+                found = (item_id, distance, end - back, end)
+                if item_id not in best or found[1:] < best[item_id][1:]:
+                    best[item_id] = found
         return sorted(best.values(), key=lambda m: (m[0] is not None, m[0]))
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items, in blocks of about block_chars characters; only one block is brought to the driver at a time."""
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items, in blocks of about block_chars characters; only one block is brought to the driver at a time."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+    n = number_of_blocks(items, block_chars)
     for i in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
 
 
-def _matcher(items, error_rate):
-    def make():
-        found = Matcher(items, error_rate)
-        return found
+def number_of_blocks(benchmark: DataFrame, block_chars: int) -> int:
+    total = benchmark.select("item_id", "text").where("text is not null").distinct().agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-total // block_chars))
+
+
+#: The matcher that this process used last, and the items and rate that it is for.
+_last: list = [None, None]
+
+
+def _matcher(items: list[tuple[int, str]], error_rate: float) -> Callable[[], Matcher]:
+    def make() -> Matcher:
+        key = (error_rate, items)
+        if _last[0] != key:  # tasks of one process share it
+            _last[:] = key, Matcher(items, error_rate)
+        return _last[1]
 
     return make
 
 
-def match(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance, start, end): a row for each item that a document holds, at its best place."""
+def _match_block(docs: DataFrame, items: list[tuple[int, str]], error_rate: float, row: str) -> DataFrame:
+    """(row..., doc_id, item_id, distance, start, end) by the items of one block."""
+    make_matcher = _matcher(items, error_rate)
+    keys = [row, "doc_id"] if row else ["doc_id"]
 
-    def one(items):
-        make_matcher = _matcher(items, error_rate)
+    def make():
+        found = make_matcher()
 
-        def make():
-            found = make_matcher()
+        def f(*columns):
+            *ids, texts = columns
+            rows = [(*own, *m) for *own, t in zip(*ids, texts, strict=True) for m in found.matches(t)]
+            return tuple([r[i] for r in rows] for i in range(len(keys) + 4))
 
-            def f(ids, texts):
-                rows = [(d, *m) for d, t in zip(ids, texts, strict=True) for m in found.matches(t)]
-                return tuple([r[i] for r in rows] for i in range(5))
+        return f
 
-            return f
+    return map_rows(docs, [*keys, "text"], ", ".join(f"{k} bigint" for k in keys) + f", {MATCHES}", make)
 
-        return map_rows(docs, ["doc_id", "text"], f"doc_id bigint, {MATCHES}", make)
 
-    return reduce(DataFrame.unionAll, [one(items) for items in item_blocks(benchmark, block_chars)])
+def match(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, distance, start, end): a row for each item that a document holds, at its best place."""
+    if number_of_blocks(benchmark, block_chars) == 1:
+        return _match_block(docs, next(item_blocks(benchmark, block_chars)), error_rate, "")
+    # texts of one item may lie in several blocks: rows are numbered, and the best of each row and item is taken
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "documents")
+    parts = [materialise(_match_block(rows, items, error_rate, "_row"), "matches") for items in item_blocks(benchmark, block_chars)]
+    found = reduce(DataFrame.unionAll, parts).groupBy("_row", "doc_id", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("m"))
+    return found.select("doc_id", "item_id", "m.distance", "m.start", "m.end")
 
 
 def leaked_items(text: Column, items: list[tuple[int, str]], error_rate: float = ERROR_RATE) -> Column:
@@ -183,6 +209,9 @@ def leaked_items(text: Column, items: list[tuple[int, str]], error_rate: float =
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    for items in item_blocks(benchmark, block_chars):
+    n = number_of_blocks(benchmark, block_chars)
+    for i, items in enumerate(item_blocks(benchmark, block_chars)):
         docs = docs.where(leaked_items(F.col("text"), items, error_rate) == 0)
+        if i + 1 < n:  # so that one block at a time is held
+            docs = materialise(docs, "clean")
     return docs

@@ -9,7 +9,8 @@ Profiles are learned from about MAX_DOCS documents of each language at most, cho
 parameter. Prediction reads whole texts and nothing else.
 
 Defined results: null texts, texts without letters, and all texts if nothing could be learned are "und" with score 0.
-Repeated documents each get a row. Documents with a null doc_id or language are never learned from.
+Repeated documents each get a row. Documents with a null doc_id or language are never learned from. Other columns aren't
+looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

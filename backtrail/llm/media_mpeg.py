@@ -5,12 +5,14 @@ header (frame and byte counts, seek table), then frames with a CRC whose side in
 the audio, so each decodes to silence and the rest of the frame is ancillary data, which carries the payload. A last frame
 carries none, so that no payload is taken for a tag at the end.
 
-The parser skips ID3v2, APE and ID3v1 tags, finds the first header that is followed by a consistent one, resynchronises
-after damage, reads Xing/Info and VBRI tables, verifies CRC-16 where a frame has one, and gives the exact duration
-(samples over rate, a fraction), and the byte offset of each frame as a seek table.
+The parser reads ID3v2, APE and ID3v1 tags, finds the first header that is followed by a consistent one, resynchronises
+after damage, reads Xing/Info tables (with the encoder's delay and padding, if it names them) and VBRI tables with their
+seek points, verifies the CRC-16 of all three layers where a frame has one, and gives the exact duration (samples over rate,
+a fraction) with and without what the encoder put in, and the byte offset of each frame as a seek table.
 
 Defined results: a null payload counts as empty; empty or unreadable media have no frames, duration 0 and no payload;
-equal texts give equal streams; repeated rows stay repeated.
+equal texts give equal streams; repeated rows stay repeated, and rows with a null key stay; other columns aren't looked at,
+whatever their names; an empty table gives no rows. Of tags with one name the last counts, ID3v2 before ID3v1.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ class Frame:
     mono: bool
     size: int
     samples: int
+    bound: int = 32  # the first subband that both channels share, layers I and II
 
     @property
     def side(self) -> int:
@@ -77,7 +80,8 @@ def frame_header(four: bytes) -> Frame | None:
     else:
         samples = 576 if layer == 3 and family == 2 else 1152
         size = samples // 8 * kbps * 1000 // rate + padding
-    return Frame(version, layer, not h >> 16 & 1, kbps, rate, padding, mono, size, samples)
+    bound = 4 * ((h >> 4 & 3) + 1) if h >> 6 & 3 == 1 else 32
+    return Frame(version, layer, not h >> 16 & 1, kbps, rate, padding, mono, size, samples, bound)
 
 
 def _crc_table() -> list[int]:
@@ -101,6 +105,65 @@ def crc16(data: bytes) -> int:
     return c
 
 
+#: Fixed values of layer II: bits of a subband's allocation, as (bits, subbands) runs; ISO 11172-3 tables B.2a to B.2d, 13818-3 B.1.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
+
+
+def allocation_bits(f: Frame) -> list[int]:
+    """Bits of each subband's allocation in a frame of layer I or II."""
+    if f.layer == 1:
+        return [4] * 32
+    each = f.kbps if f.mono else f.kbps // 2
+    if f.version != 1:
+        table = "low"
+    elif each <= 48:
+        table = "d" if f.rate == 32000 else "c"
+    else:
+        table = "a" if f.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+
+def protected(body: bytes, f: Frame) -> tuple[int, int]:
+    """(bits, how many) that a frame's CRC covers: the header's last 16, then layer III's side information, layer I's
+    allocations, or layer II's allocations and scale factor selections."""
+    head = int.from_bytes(body[2:4], "big")
+    if f.layer == 3:
+        return head << 8 * f.side | int.from_bytes(body[6 : 6 + f.side], "big"), 16 + 8 * f.side
+    data, at = int.from_bytes(body[6:150].ljust(144, b"\0"), "big"), 0
+
+    def take(n: int) -> int:
+        nonlocal at
+        at += n
+        return data >> 144 * 8 - at & (1 << n) - 1
+
+    used = 0  # channels and subbands with an allocation
+    for i, n in enumerate(allocation_bits(f)):
+        if f.mono:
+            used += take(n) > 0
+        elif i < f.bound:
+            used += (take(n) > 0) + (take(n) > 0)
+        else:
+            used += 2 * (take(n) > 0)
+    at += 2 * used if f.layer == 2 else 0
+    return head << at | data >> 144 * 8 - at, 16 + at
+
+
+def crc_right(body: bytes, f: Frame) -> bool:
+    """Whether the CRC of a frame that has one is right."""
+    bits, n = protected(body, f)
+    whole = n // 8
+    c = crc16((bits >> n - 8 * whole).to_bytes(whole, "big"))
+    for i in range(n - 8 * whole - 1, -1, -1):
+        c = (c << 1 ^ (CRC_POLYNOMIAL if (c >> 15 ^ bits >> i) & 1 else 0)) & 0xFFFF
+    return c == int.from_bytes(body[4:6], "big")
+
+
+@lru_cache(maxsize=4096)
+def _sound(start: bytes) -> bool:
+    """crc_right() of a layer III frame with 17 bytes of side information, by its start; written frames have few."""
+    return crc16(start[2:4] + start[6:HEAD]) == int.from_bytes(start[4:6], "big")
+
+
 @lru_cache(maxsize=64)
 def _frame_start(index: int) -> bytes:
     """Header, CRC and empty side information of a written frame with a bit rate's index (1 to 14)."""
@@ -165,6 +228,17 @@ class Stream:
         return total.numerator, total.denominator
 
 
+def played(s: Stream) -> tuple[int, int]:
+    """Seconds as (numerator, denominator) without the encoder's delay and padding, as far as the stream's table names them."""
+    from fractions import Fraction
+
+    n, d = s.duration
+    if not s.vbr or not s.frames or "delay" not in s.vbr:
+        return n, d
+    left = max(Fraction(0), Fraction(n, d) - Fraction(s.vbr["delay"] + s.vbr["padding"], s.frames[0][1].rate))
+    return left.numerator, left.denominator
+
+
 def _samples_by_rate(frames) -> dict[int, int]:
     out: dict[int, int] = {}
     for _, f in frames:
@@ -193,30 +267,57 @@ def read_tags(data: bytes) -> tuple[int, int, dict[str, str]]:
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
-    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        end -= int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 128 else 0)
+    if end - start >= 32:
+        end, found = read_ape(data, end)
+        tags = found | tags
     return min(start, len(data)), max(min(end, len(data)), min(start, len(data))), tags
 
 
 def read_vbr(body: bytes, f: Frame) -> dict | None:
-    """The Xing, Info or VBRI table in a layer III frame, if it has one."""
+    """The Xing, Info or VBRI table in a layer III frame, if it has one. seek: of Xing 100 places in 256ths of the stream, of
+    VBRI the bytes before each point, which are so many frames (every) apart."""
     at = 4 + 2 * f.crc + f.side
     kind = body[at : at + 4]
-    word = lambda i: int.from_bytes(body[i : i + 4], "big")
+    number = lambda i, n: int.from_bytes(body[i : i + n], "big")
     if kind in (b"Xing", b"Info"):
-        flags, at, out = word(at + 4), at + 8, {"kind": kind.decode()}
+        flags, at, out = number(at + 4, 4), at + 8, {"kind": kind.decode()}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name] = word(at)
+                out[name] = number(at, 4)
                 at += 4
         if flags & 4:
             out["seek"] = list(body[at : at + 100])
+            at += 100
+        at += 4 if flags & 8 else 0
+        if body[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and len(body) >= at + 24:
+            both = number(at + 21, 3)
+            out |= {"encoder": body[at : at + 9].decode("latin-1").rstrip("\0 "), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     if body[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": word(46), "frames": word(50)}
+        entries, scale, width, every = (number(54 + 2 * i, 2) for i in range(4))
+        sizes = [number(62 + i * width, width) * scale for i in range(entries) if 62 + (i + 1) * width <= len(body)]
+        return {"kind": "VBRI", "delay": number(42, 2), "padding": 0, "bytes": number(46, 4), "frames": number(50, 4), "every": every, "seek": [sum(sizes[:i]) for i in range(len(sizes))]}
     return None
 
 
+def read_ape(data: bytes, end: int) -> tuple[int, dict[str, str]]:
+    """(where an APE tag that ends at end begins, its texts); end itself if there is none."""
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return end, {}
+    little = lambda i: int.from_bytes(data[i : i + 4], "little")
+    size, count, flags = little(end - 20), little(end - 16), little(end - 12)
+    at, stop, out = max(0, end - size), end - 32, {}
+    begin = max(0, at - (32 if flags >> 31 else 0))
+    for _ in range(count):
+        n, kind, key_end = little(at), little(at + 4), data.find(b"\0", at + 8, stop)
+        if key_end < 0 or key_end + 1 + n > stop:
+            break
+        if kind >> 1 & 3 == 0:
+            out["APE:" + data[at + 8 : key_end].decode("latin-1")] = data[key_end + 1 : key_end + 1 + n].decode("utf-8", "replace")
+        at = key_end + 1 + n
+    return begin, out
+
+
 def parse(data: bytes) -> Stream:
     """Frames with their offsets, and what the tags and tables say. A header counts at the first place, and after
     damage, only if another header of the same version, layer and rate follows its frame, or the stream ends there."""
@@ -238,9 +339,9 @@ def parse(data: bytes) -> Stream:
                 break
             continue
         synced = True
-        if f.crc and f.layer == 3:
+        if f.crc:
             out.crc_checked += 1
-            out.crc_wrong += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + f.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.crc_wrong += not (_sound(data[at : at + HEAD]) if f.layer == 3 and f.side == 17 else crc_right(data[at : at + f.size], f))
         vbr = read_vbr(data[at : at + f.size], f) if first and f.layer == 3 else None
         first = False
         if vbr:
@@ -280,17 +381,19 @@ def features(s: Stream) -> str:
 
 
 def inspect(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, frames, samples, duration numerator and denominator, resyncs, CRC counts, seek offsets) of a media column."""
+    """(key, frames, samples, seconds_num, seconds_den, played_num, played_den, resyncs, crc_checked, crc_wrong, offsets, tags,
+    seek) of a media column: counts, exact durations, the byte offset of each frame, tags, and the seek table that the
+    stream itself brings along."""
 
     def f(keys, values):
         parsed = [parse(bytes(x or b"")) for x in values]
-        times = [s.duration for s in parsed]
+        times, heard = [s.duration for s in parsed], [played(s) for s in parsed]
         return (
-            keys, [len(s.frames) for s in parsed], [s.samples for s in parsed], [t[0] for t in times], [t[1] for t in times],
-            [s.resyncs for s in parsed], [s.crc_checked for s in parsed], [s.crc_wrong for s in parsed], [[at for at, _ in s.frames] for s in parsed],
+            keys, [len(s.frames) for s in parsed], [s.samples for s in parsed], [t[0] for t in times], [t[1] for t in times], [t[0] for t in heard], [t[1] for t in heard],
+            [s.resyncs for s in parsed], [s.crc_checked for s in parsed], [s.crc_wrong for s in parsed], [[at for at, _ in s.frames] for s in parsed], [list(s.tags.items()) for s in parsed], [(s.vbr or {}).get("seek") for s in parsed],
         )
 
-    schema = f"{key} bigint, frames int, samples bigint, seconds_num bigint, seconds_den bigint, resyncs int, crc_checked int, crc_wrong int, offsets array<bigint>"
+    schema = f"{key} bigint, frames int, samples bigint, seconds_num bigint, seconds_den bigint, played_num bigint, played_den bigint, resyncs int, crc_checked int, crc_wrong int, offsets array<bigint>, tags map<string,string>, seek array<bigint>"
     return map_rows(df, [key, media], schema, lambda: f)
 
 

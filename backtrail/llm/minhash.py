@@ -10,16 +10,20 @@ How the work stays linear where a third of all documents are copies:
   * in a bucket (an equal band) each class is compared with the bucket's smallest class only;
   * then linked classes are contracted, and only buckets that still hold several components are looked at again: there,
     and only between different components, blocks of documents are compared with each other, so no link is lost.
-Sets enter as 64-bit hashes of shingles. A link at similarity 0.8 shares no band with a probability of
-(1 - 0.8^ROWS)^BANDS, 6e-7.
+Sets enter as 64-bit hashes of shingles; sets are called equal if the SHA-256 of their sorted hashes is. A link at
+similarity 0.8 shares no band with a probability of (1 - 0.8^ROWS)^BANDS, 6e-7.
 
 Defined results: null and empty texts, and texts of white space only, have the empty set, are linked with nothing and
 form their own component; with fewer than k words the whole word sequence is the one shingle. Repeated rows with one
-doc_id are each returned. Null doc_ids are linked with nothing.
+doc_id are each returned. Null doc_ids are linked with nothing, have a null component and are kept. A similarity of exactly
+the limit is a link. Other columns aren't looked at, whatever their names, and deduplicate() returns them as they are; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -100,22 +104,21 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n set size, d1, d2 digest of the set, bands) of every document; digests and bands of empty sets are null."""
+    """(doc_id, n set size, digest of the set, bands) of every document; digests and bands of empty sets are null."""
 
     def f(ids, texts):
         sets = shingle_sets(texts, k)
         n = [len(s) for s in sets]
-        d1, d2, keys = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+        digest, keys = [None] * len(ids), [None] * len(ids)
         full = [i for i, size in enumerate(n) if size]
         if full:
             all_keys = band_keys(signatures([sets[i] for i in full], rows * bands), rows).view(np.int64)
             for row, i in zip(all_keys, full, strict=True):
-                d1[i] = int(mix64(sets[i]).sum(dtype=np.uint64).view(np.int64))
-                d2[i] = int(mix64(sets[i] ^ _ODD).sum(dtype=np.uint64).view(np.int64))
+                digest[i] = hashlib.sha256(sets[i].tobytes()).digest()
                 keys[i] = row
-        return ids, n, d1, d2, keys
+        return ids, n, digest, keys
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>", lambda: f)
+    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, n bigint, digest binary, bands array<bigint>", lambda: f)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
     sets = materialise(document_sets(docs, k, rows, bands), "sets")
     whole = sets.where("n > 0 and doc_id is not null")
     # equal sets: any row of a class has the class's size and bands
-    classes = materialise(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    classes = materialise(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     hubs = materialise(buckets.groupBy("key").agg(F.min_by("n", "rep").alias("hub_n"), F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
     shared = materialise(buckets.join(hubs, "key"), "shared")  # (key, rep, n, hub_n, hub): buckets of several classes
@@ -189,11 +192,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, rows: i
         linked = materialise(components(links.unionAll(found)), "components")
 
     # back from classes to documents
-    final = classes.select("d1", "d2", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    final = classes.select("digest", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     final = materialise(final, "final")
-    out = sets.join(final, ["d1", "d2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
+    out = whole.join(final, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # empty sets and rows without an id have nothing to join on; they'd all meet in one task
+    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = out.unionAll(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -1,14 +1,17 @@
-"""A quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""A quality classifier: a factorisation machine over hashed words, structure statistics and metadata (the text's length).
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise sum is taken in linear time as
 half of sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
-The model is fitted on at most MAX_TRAIN labelled documents, those whose hashed ids are smallest; the bound is a
-parameter. Feature vectors of these, not texts, come to the driver. Scoring is one pass over the whole texts.
+The model is fitted on at most MAX_TRAIN labelled documents, those whose hashed ids are smallest, each with at most
+MAX_TRAIN_CHARS characters (longer ones aren't learned from); both bounds are parameters. Feature vectors of these, not
+texts, come to the driver. Scoring is one pass over the whole texts, however long.
 
-Defined results: null and empty texts get the score of their (mostly zero) statistics; without any label every score is
-0.5; of repeated labels of a document the lowest quality counts; labels without a quality or a document are ignored.
-Repeated documents each get a row. A null doc_id is never learned from.
+Defined results: null and empty texts get the score of their (mostly zero) statistics; without any document to learn from
+every score is 0.5; of repeated labels of a document the lowest quality counts; labels without a quality or a document are
+ignored. Of rows that repeat a doc_id the one with the smallest text is learned from, once; each gets a row of results. A
+null doc_id is never learned from, and scored like others. Rows are learned from in the order of doc_id, so partitions
+don't matter. Other columns aren't looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from backtrail.llm.common import column, map_rows
 
 MAX_TRAIN = 4000
+MAX_TRAIN_CHARS = 100_000
 BUCKETS = 1 << 12
 RANK = 8
 EPOCHS = 6
@@ -111,6 +115,8 @@ def sigmoid(x):
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Logistic loss by Adagrad over small batches; the order of the rows and a fixed seed decide the result."""
     random = np.random.default_rng(SEED)
+    if not rows:
+        return Model(0.0, np.zeros(SIZE), np.zeros((SIZE, RANK)))
     model = Model(0.0, np.zeros(SIZE), random.normal(0, 0.02, (SIZE, RANK)))
     grown_w, grown_v, grown_b = np.full(SIZE, 1e-6), np.full((SIZE, RANK), 1e-6), 1e-6
     y = np.array(labels, dtype=float)
@@ -143,11 +149,12 @@ def fold(modulus: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus, F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Learn from labelled documents outside the held-out fold (remainder 1 of 3)."""
     known = labels.where("doc_id is not null and quality is not null").where(fold(3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # one row for each of at most max_train ids
 
     def make():
         def f(ids, texts, quality):

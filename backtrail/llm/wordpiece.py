@@ -10,7 +10,9 @@ The vocabulary has a form for the inside of a word and one with an end mark for
 more character behind each word. A place where no vocabulary entry fits makes the word unknown, which counts as one.
 
 Words are the runs that the vocabulary's own split pattern yields from the lower-cased text; each is read in the
-vocabulary's byte alphabet. Defined results: null and empty texts have 0 pieces; repeated rows stay repeated.
+vocabulary's byte alphabet. Defined results: null and empty texts, and those of white space only, have 0 words and pieces; repeated rows
+stay repeated, and rows with a null key stay; other columns aren't looked at, whatever their names; an empty table gives no
+rows. Greedy matching knows no ties: the longest piece is one.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
+from backtrail.llm.bpe import split_space
 from backtrail.llm.common import map_rows
 
 #: The state after a place where nothing fits.
@@ -119,7 +122,7 @@ def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
             n_words, n_tokens = [], []
             for t in texts:
                 words = tokens = 0
-                for piece, times in Counter((t or "").split()).items():
+                for piece, times in Counter(split_space(t or "")).items():
                     got = known.get(piece)
                     if got is None:
                         got = numbers(piece)
