@@ -37,8 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("_language", language_id.identify(F.col("text"), language_id.fit(docs)))
-    kept = found.where(F.col("_language.lang") != language_id.UNKNOWN).where(F.col("_language.score") >= MIN_LANGUAGE_SCORE)
+    own = f"language-{uuid.uuid4().hex}"  # no column of docs has this name
+    found = docs.withColumn(own, language_id.identify(F.col("text"), language_id.fit(docs)))
+    kept = found.where(F.col(own)["lang"] != language_id.UNKNOWN).where(F.col(own)["score"] >= MIN_LANGUAGE_SCORE)
     return kept.select(docs.columns)
 
 
