@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
-from backtrail.operators import graph, sequence
+from backtrail.operators import graph, projections, sequence
 
 
 def or_of_sites(sites: DataFrame) -> DataFrame:
@@ -123,8 +123,6 @@ def prefix_guards(hops: DataFrame, calls: DataFrame, functions: DataFrame, owner
     next_stem, pos, line), without any unguarded; each guard there (asm_guards: stem, line, seq, text, test, branch, args,
     note, block, branch_line) is written as a predicate and anchored at its compare (triggers: stem, inst, operand, line).
     """
-    from backtrail.operators import projections
-
     order = Window.partitionBy("chain").orderBy("pos")
     following = lambda c: F.lead(c).over(order).alias(f"next_{c}")
     pairs = hops.select("chain", F.col("pos").alias("seq"), "stem", "file_type", "function", following("stem"), F.lead("file_type").over(order).alias("next_type"), following("function"))
@@ -171,7 +169,7 @@ def edge_guards(edges: DataFrame, guards: DataFrame, prefix: DataFrame, local: D
 
 
 def block_conditions(flow: DataFrame, edges: DataFrame, points: DataFrame, max_levels: int, file_edges: int = graph.FILE_EDGES) -> tuple[DataFrame, DataFrame]:
-    """(conditions (id, seq, block, depth, condition, polarity, test, branch, line, end_line), truncated (id,
+    """(conditions (id, seq, file, block, depth, condition, polarity, test, branch, line, end_line), truncated (id,
     truncated)) of reaching points (id, file, block, line), by the blocks' instructions (file, block, line, inst, args, kind)
     and control flow (file, src, dst).
 
@@ -189,15 +187,11 @@ def block_conditions(flow: DataFrame, edges: DataFrame, points: DataFrame, max_l
     named = pairs.select("file", F.col("block").alias("node"), F.col("target").alias("branch")).distinct()
     gate = graph.gates(over, edges, named, max_levels).withColumnRenamed("branch", "arm")
     here = points.select("id", "file", "block", F.col("line").alias("before"))
-    own = here.join(pairs, ["file", "block"]).where("before = 0 or line < before").select("id", F.lit(0).alias("depth"), "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", F.lit(False).alias("taken"))
+    own = here.join(pairs, ["file", "block"]).where("before = 0 or line < before").select("id", F.lit(0).alias("depth"), "file", "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", F.lit(False).alias("taken"))
     other = here.withColumnRenamed("block", "at").join(gate, (here["file"] == gate["file"]) & (F.col("at") == gate["target"])).select("id", here["file"], gate["node"].alias("block"), "arm", "depth", "taken")
-    other = other.join(pairs.withColumnRenamed("target", "arm"), ["file", "block", "arm"]).select("id", "depth", "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", "taken")
-    raw = lambda inst, args: F.concat_ws(" ", inst, F.when(F.size(args) > 0, F.array_join(args, ", ")))
-    rows = own.unionAll(other)
-    rows = rows.select(
-        "id", "depth", "block", X.predicate(F.col("test"), F.col("test_args"), F.col("branch"), F.col("taken")).alias("condition"), F.col("taken").alias("polarity"),
-        raw("test", "test_args").alias("test"), raw("branch", "branch_args").alias("branch"), F.col("trigger_line").alias("line"), F.col("line").alias("end_line"),
-    )
+    other = other.join(pairs.withColumnRenamed("target", "arm"), ["file", "block", "arm"]).select("id", "depth", "file", "block", "trigger_line", "line", "test", "test_args", "branch", "branch_args", "taken")
+    shaped = projections.pair_conditions(own.unionAll(other), "id", "depth")
+    rows = shaped.select("id", "depth", "file", "block", "condition", "polarity", F.col("raw_test").alias("test"), F.col("raw_branch").alias("branch"), F.col("location.startLine").alias("line"), F.col("location.endLine").alias("end_line"))
     cut = over.where("dominates").where(F.col("depth") > max_levels).select("file", F.col("target").alias("block")).distinct().withColumn("truncated", F.lit(True))
     flags = points.select("id", "file", "block").join(cut, ["file", "block"], "left").select("id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
     return sequence.renumber(rows, ["id"], ["depth", "block", "end_line"]), flags

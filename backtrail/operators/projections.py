@@ -18,13 +18,13 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def pair_conditions(pairs: DataFrame) -> DataFrame:
-    """Pairs (file, block, trigger_line, line, test, test_args, branch, branch_args, taken) as guards. taken is null for a
-    pair of the target's own block: there the branch wasn't taken."""
+def pair_conditions(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Pairs (keys..., file, block, trigger_line, line, test, test_args, branch, branch_args, taken) as guards. taken is null
+    for a pair of the target's own block: there the branch wasn't taken."""
     taken = F.coalesce("taken", F.lit(False))
-    raw = lambda inst, args: F.concat_ws(" ", inst, F.when(F.size(args) > 0, F.array_join(args, ",")))
+    raw = lambda inst, args: F.concat_ws(" ", inst, F.when(F.size(args) > 0, F.array_join(args, ", ")))
     return pairs.select(
-        "file", "block", X.predicate(F.col("test"), F.col("test_args"), F.col("branch"), taken).alias("condition"), taken.alias("polarity"), raw("test", "test_args").alias("raw_test"), raw("branch", "branch_args").alias("raw_branch"),
+        *keys, "file", "block", X.predicate(F.col("test"), F.col("test_args"), F.col("branch"), taken).alias("condition"), taken.alias("polarity"), raw("test", "test_args").alias("raw_test"), raw("branch", "branch_args").alias("raw_branch"),
         F.lit("asm_guard").alias("kind"), location(F.col("file"), F.col("trigger_line"), F.col("line")).alias("location"),
     )
 
@@ -35,10 +35,10 @@ def condition_summary(conditions: DataFrame) -> DataFrame:
     return conditions.select(*keep, base_name(F.col("location.file")).alias("file"), F.col("location.startLine").alias("line"))
 
 
-def setter_summary(setters: DataFrame) -> DataFrame:
-    """Setters (id, location, value, conditions array<struct<condition,...>>, is_not_set) with inlined guard texts."""
+def setter_summary(setters: DataFrame, *keys: str) -> DataFrame:
+    """Setters (keys..., id, location, value, conditions array<struct<condition,...>>, is_not_set) with inlined guard texts."""
     texts = F.transform("conditions", lambda c: c["condition"])
-    return setters.select("id", base_name(F.col("location.file")).alias("file"), F.col("location.startLine").alias("line"), "value", texts.alias("guards"), "is_not_set")
+    return setters.select(*keys, "id", base_name(F.col("location.file")).alias("file"), F.col("location.startLine").alias("line"), "value", texts.alias("guards"), "is_not_set")
 
 
 def with_certainty(rows: DataFrame) -> DataFrame:
@@ -64,9 +64,11 @@ def reader_stems(dependencies: DataFrame, setters: DataFrame | None = None) -> D
 
 def label_routes(routes: DataFrame, inner: DataFrame) -> DataFrame:
     """Routes (route, pos, stem) as text, where a file with known inner paths (stem, seq, size, path) shows its
-    longest one, the first of equally long ones."""
-    best = inner.groupBy("stem").agg(F.max_by("path", F.struct(F.col("size"), -F.col("seq"))).alias("inner"))
-    hops = routes.join(best, "stem", "left").withColumn("label", F.coalesce("inner", "stem"))
+    longest one, the first of equally long ones. Where both have the functions at which a file is entered and left (entry,
+    leaving), only the paths between these count."""
+    key = [c for c in ("stem", "entry", "leaving") if c in routes.columns and c in inner.columns]
+    best = inner.groupBy(*key).agg(F.max_by("path", F.struct(F.col("size"), -F.col("seq"))).alias("inner"))
+    hops = routes.join(best, key, "left").withColumn("label", F.coalesce("inner", "stem"))
     return hops.groupBy("route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda h: h["label"]), " > ").alias("route_text"))
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.operators import lineage
+from backtrail.operators import lineage, projections
 from backtrail.operators.constants import Dictionary
 from backtrail.plans.trace import Bounds, Inputs, Trace, lineage_graph, trace_chains
 from backtrail.sources import cache
@@ -63,6 +63,12 @@ class Job:
     def terminals(self) -> DataFrame:
         return self._union(lambda t: t.terminals)
 
+    def summaries(self) -> DataFrame:
+        """Each setter on one line: its file, its line, the value and the guards."""
+        s = self.setters()
+        shaped = s.select("language", "chain_index", "variable", "id", projections.location(F.col("stem").cast("string"), F.col("line")).alias("location"), "value", F.transform("texts", lambda t: F.struct(t.alias("condition"))).alias("conditions"), "is_not_set")
+        return projections.setter_summary(shaped, "language", "chain_index", "variable")
+
     def nodes(self) -> DataFrame:
         """Root, dependent, terminal and truncated variables of each chain."""
         return self._union(lambda t: lineage_graph(t, self.variable)[0])
@@ -123,7 +129,8 @@ def classified(job: Job, facts: Facts, opts: Options | None = None) -> DataFrame
     opts = opts or Options()
     terminal = keep(job.nodes().where("terminal").select("language", "chain_index", "name"), "terminals")
     names = terminal.select("name").distinct()
-    readers = job.edges().select(F.col("child").alias("name"), F.lower(F.regexp_extract(F.col("file").cast("string"), r"([^/.:]+)[^/]*$", 1)).alias("stem")).distinct()
+    found_at = job.edges().select(F.col("child").alias("variable"), F.substring_index(F.col("file").cast("string"), "::", 1).alias("file"))
+    readers = projections.reader_stems(found_at).select(F.col("variable").alias("name"), "stem")
     found = keep(lineage.evidence(facts.sources, opts.db_read_markers, opts.user_input_markers), "evidence")
     nodes = names.join(facts.attributes, "name", "left")
     markers = {"input": opts.input_msg_prefixes, "storage": opts.working_storage_prefixes}
@@ -165,7 +172,7 @@ def audit(nodes: DataFrame, edges: DataFrame, blueprints: DataFrame, owners: Dat
 def write(job: Job, folder: str, opts: Options | None = None) -> None:
     """The traces' tables as JSON."""
     opts = opts or Options()
-    for name, rows in (("setters", job.setters()), ("edges", job.edges()), ("terminals", job.terminals()), ("nodes", job.nodes())):
+    for name, rows in (("setters", job.setters()), ("edges", job.edges()), ("terminals", job.terminals()), ("nodes", job.nodes()), ("summaries", job.summaries())):
         cache.write_chains(rows, f"{folder}/{name}", opts.split_chains)
 
 

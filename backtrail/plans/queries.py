@@ -822,6 +822,39 @@ def block_conditions(fx):
     return found.join(flags, "id").select("id", "seq", "block", "condition", "polarity", "line", "end_line", "truncated")
 
 
+@query(
+    DICTIONARY
+    + """, t AS (SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS seq, 'v == E::K' || (o_orderkey % 60) || ' && k' || (o_orderkey % 7) || ' != Q::K' || (o_orderkey % 13) AS s FROM orders),
+n AS (SELECT id, seq, unnest(list_distinct(regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_#$@]*(?:::[A-Za-z_][A-Za-z0-9_]*)?'))) AS name FROM t),
+v AS (SELECT id, seq, name, coalesce(f.value, b.value, a.value) AS value FROM n LEFT JOIN d f ON f.key = n.name LEFT JOIN d b ON b.key = string_split(n.name, '::')[-1] AND NOT contains(b.key, '::') LEFT JOIN d a ON a.key = upper(n.name))
+SELECT id, seq, string_agg(name || '=' || value, ',' ORDER BY name) AS constants FROM v WHERE value IS NOT NULL GROUP BY id, seq"""
+)
+def guard_constants(fx):
+    """The constants that each of an order's guards names, as a map."""
+    key = F.col("o_orderkey")
+    at = lambda k: (key % k).cast("string")
+    text = F.concat(F.lit("v == E::K"), at(60), F.lit(" && k"), at(7), F.lit(" != Q::K"), at(13))
+    rows = sequence.renumber(fx.table("orders").select(F.col("o_custkey").alias("id"), key, text.alias("text")), ["id"], ["o_orderkey"])
+    known = keep(dictionary(fx), "dictionary")
+    found = guards.constants_of(rows, ("id",), known, known)
+    return found.select("id", "seq", F.array_join(F.transform(F.map_entries("constants"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("constants"))
+
+
+@query(
+    """, s AS (SELECT o_custkey AS route, o_orderkey AS pos, 's' || (o_orderkey % 40) AS stem, 'f' || (o_orderkey % 3) AS entry, 'f' || (o_orderkey % 2) AS leaving FROM orders),
+i AS (SELECT 's' || (p_partkey % 50) AS stem, 'f' || (p_partkey // 50 % 3) AS entry, 'f' || (p_partkey // 50 % 2) AS leaving, p_partkey AS seq, p_size % 5 AS size, 'i' || p_partkey AS path FROM part),
+b AS (SELECT stem, entry, leaving, arg_max(path, struct_pack(a := size, b := -seq)) AS inner_path FROM i GROUP BY ALL)
+SELECT route, string_agg(coalesce(inner_path, s.stem), ' > ' ORDER BY pos) AS route_text FROM s LEFT JOIN b ON b.stem = s.stem AND b.entry = s.entry AND b.leaving = s.leaving GROUP BY route"""
+)
+def route_labels(fx):
+    """Routes as text, where a file shows the longest inner path between the functions at which it is entered and left."""
+    key, part, nth = F.col("o_orderkey"), F.col("p_partkey"), F.floor(F.col("p_partkey") / 50)
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    routes = fx.table("orders").select(F.col("o_custkey").alias("route"), key.alias("pos"), named("s", key % 40).alias("stem"), named("f", key % 3).alias("entry"), named("f", key % 2).alias("leaving"))
+    inner = fx.table("part").select(named("s", part % 50).alias("stem"), named("f", nth % 3).alias("entry"), named("f", nth % 2).alias("leaving"), part.alias("seq"), (F.col("p_size") % 5).alias("size"), named("i", part).alias("path"))
+    return projections.label_routes(routes, inner)
+
+
 # --- traces ---
 
 SET_VALUES = ["E::A", "E::B", "A", "f(E::B)", "x y", "Q::A"]

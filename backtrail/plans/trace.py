@@ -11,7 +11,8 @@ A node of the call graph is a file, or a function of a file ("stem::function");
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions import scalars as X
 from backtrail.operators import constants, graph, guards, lineage, projections, sequence
+from backtrail.sources import cache
 from backtrail.sources.scratch import keep
 
 
@@ -251,9 +253,8 @@ def entries(inputs: Inputs, setters: DataFrame, names: DataFrame, tails: DataFra
     rich = left.join(best.select(*key, "most"), key).where(rank == F.col("most")).groupBy(*key).agg(F.min_by("chain_text", "seq").alias("chain_text"))
     rows = best.join(rich, key).select("chain", "variable", "stem", "line", "is_not_set", "chain_text", "first.*")
     rows = _resolved(inputs, rows)
-    joined = F.when(F.size("texts") > 0, F.array_join("texts", " && "))
-    rows = rows.withColumns({"guards": joined, "unconditional": (F.size("texts") == 0) & ~F.col("truncated")})
-    return keep(rows, "entries")
+    rows = projections.with_certainty(rows.withColumnsRenamed({"texts": "conditions", "truncated": "incomplete"})).withColumnsRenamed({"conditions": "texts", "incomplete": "truncated"})
+    return keep(rows.withColumn("guards", F.when(F.size("texts") > 0, F.array_join("texts", " && "))), "entries")
 
 
 def _resolved(inputs: Inputs, rows: DataFrame) -> DataFrame:
@@ -295,6 +296,23 @@ def trace_chains(inputs: Inputs, variable: str, tails: DataFrame, bounds: Bounds
     return Trace(rows.select(columns), edges, ends, depth.where(F.col("depth") > bounds.depth).select("chain", "variable"))
 
 
+def cached_trace(spark, salt: str, build: Callable[[], Inputs], variable: str, tails: list, bounds: Bounds | None = None, root: str | None = None) -> Trace:
+    """trace_chains() from the tails, kept as tables under all that its result depends on: the state of the inputs (salt,
+    such as cache.fingerprint()), the variable, the tails and the bounds. build is called only if nothing is kept."""
+    bounds = bounds or Bounds()
+    key = cache.arguments_key({"salt": salt, "variable": variable, "tails": tails, "bounds": asdict(bounds)})
+    made: list[Trace] = []
+
+    def part(name: str) -> DataFrame:
+        if not made:
+            inputs = build()
+            kind = inputs.calls.schema["src"].dataType.simpleString()
+            made.append(trace_chains(inputs, variable, spark.createDataFrame(list(enumerate(tails)), f"chain int, node {kind}"), bounds))
+        return getattr(made[0], name)
+
+    return Trace(*(cache.cached(spark, f"trace-{f.name}", key, lambda name=f.name: part(name), root) for f in fields(Trace)))
+
+
 def trace(inputs: Inputs, variable: str, tail: int | str, bounds: Bounds | None = None) -> Trace:
     """trace_chains() of one chain, whose tail is given; its number is 0."""
     kind = inputs.calls.schema["src"].dataType

@@ -6,6 +6,7 @@ import pytest
 
 from backtrail.operators import constants, graph, guards, lineage
 from backtrail.plans import job, trace
+from backtrail.sources import cache
 
 CALLS = "src string, dst string, line long"
 SETTERS = "id long, stem string, line long, variable string, language string, value string, is_declaration boolean"
@@ -57,46 +58,58 @@ def inputs(spark, calls, setters, guard_rows, needs, **more):
     return trace.Inputs(frame(spark, calls, CALLS), frame(spark, rows, SETTERS), frame(spark, guard_rows, GUARDS), frame(spark, needs, "setter long, variable string"), **more)
 
 
-def test_each_site_gives_a_path(spark):
-    given = inputs(spark, [("a::m", "b::f", 1), ("a::m", "b::f", 2)], [(1, "b::f", 10, "V", "1", False)], [("a", 1, 1, "g"), ("a", 2, 1, "h && k"), ("a", 2, 2, "k")], [])
-    got = trace.trace(given, "V", "a::m", trace.Bounds(each_site=True)).setters
-    assert sorted((r["guards"], r["chain_text"], r["unconditional"]) for r in got.collect()) == [("g", "a::m > b::f", False), ("h && k", "a::m > b::f", False)]
+@pytest.fixture(scope="module")
+def traced(spark):
+    """Four unconnected programs, whose files begin with A to D, traced as four chains of one plan."""
+    calls = [("Aa::m", "Ab::f", 1), ("Aa::m", "Ab::f", 2), ("Ba::m", "Ba::p", 1), ("Ba::p", "Bb::f", 2), ("Ba::m", "Ba::q", 3), ("Ba::q", "Bb::f", 4), ("Cb", "Cc", 1), ("Da::m", "Da::p", 1), ("Da::p", "Db::f", 2), ("Da::m", "Db::f", 3)]
+    setters = [
+        (10, "Ab::f", 10, "V", "1", False),
+        (21, "Bb::f", 10, "V", "1", False), (22, "Ba::p", 20, "mode", "E::X", False), (23, "Ba::q", 30, "mode", "E::X", False), (24, "Ba::q", 31, "mode", "E::Y", True),
+        (1, "Cc", 5, "V", "1", False), (2, "Cd", 6, "V", "2", False), (3, "Ce", 7, "V", "3", False), (4, "Ctop", 3, "W", "4", False), (5, "Ctop", 30, "W", "5", False), (6, "Ctop", 2, "V", "6", False),
+        (40, "Db::f", 10, "V", "1", False),
+    ]
+    guard_rows = [("Aa", 1, 1, "g"), ("Aa", 2, 1, "h && k"), ("Aa", 2, 2, "k"), ("Bb", 10, 1, "p.mode == E::Y"), ("Ba", 30, 1, "maybe"), ("Cb", 1, 1, "g"), ("Cb", 2, 1, "h")]
+    given = inputs(
+        spark, calls, setters, guard_rows, [(21, "mode"), (23, "deep"), (1, "W")], file_calls=frame(spark, [("Cb", "Cd", 2, True), ("Cb", "Ce", 3, False)], CALLS + ", verified boolean"),
+        hops=frame(spark, [(2, 0, "Ctop", "cpp", "f"), (2, 1, "Cb", "asm", None)], "chain int, pos long, stem string, file_type string, function string"),
+        prefix=frame(spark, [(2, 0, 1, "up", "Ctop→Cb")], "chain int, seq long, pos long, text string, via string"), upstream=frame(spark, [(2, "Ctop", 10)], "chain int, stem string, bound long"),
+        cut_guards=frame(spark, [("Cd", 6)], "stem string, line long"), not_set=frame(spark, [(90, "Cc", 5, "V", "cpp", 1, "!(g)")], "id long, stem string, line long, variable string, language string, seq long, text string"),
+    )
+    tails = frame(spark, [(0, "Aa::m"), (1, "Ba::m"), (2, "Cb"), (3, "Da::m")], "chain int, node string")
+    found = trace.trace_chains(given, "V", tails, trace.Bounds(each_site=True))
+    return found, found.setters.collect()
 
 
-def test_routes_that_cant_be_are_dropped(spark):
-    calls = [("a::m", "a::p", 1), ("a::p", "b::f", 2), ("a::m", "a::q", 3), ("a::q", "b::f", 4)]
-    setters = [(1, "b::f", 10, "V", "1", False), (2, "a::p", 20, "mode", "E::X", False), (3, "a::q", 30, "mode", "E::X", False), (4, "a::q", 31, "mode", "E::Y", True)]
-    given = inputs(spark, calls, setters, [("b", 10, 1, "p.mode == E::Y"), ("a", 30, 1, "maybe")], [(1, "mode"), (3, "deep")])
-    got = trace.trace(given, "V", "a::m")
-    assert [r["chain_text"] for r in got.setters.where("variable = 'V'").collect()] == ["a::m > a::q > b::f"]
-    assert {(r["parent"], r["child"]) for r in got.edges.collect()} == {("V", "mode"), ("mode", "deep")}
-    nodes, _ = trace.lineage_graph(got, "V")
-    assert {(r["name"], r["role"], r["terminal"], r["truncated"]) for r in nodes.collect()} == {("V", "root", False, False), ("mode", "dependent", False, False), ("deep", "dependent", True, False)}
+def of(traced, chain):
+    return [r for r in traced[1] if r["chain"] == chain]
 
 
-def test_fallback_unverified_upstream_and_prefix(spark):
-    setters = [(1, "c", 5, "V", "1", False), (2, "d", 6, "V", "2", False), (3, "e", 7, "V", "3", False), (4, "top", 3, "W", "4", False), (5, "top", 30, "W", "5", False), (6, "top", 2, "V", "6", False)]
-    given = inputs(
-        spark, [("b", "c", 1)], setters, [("b", 1, 1, "g"), ("b", 2, 1, "h")], [(1, "W")], file_calls=frame(spark, [("b", "d", 2, True), ("b", "e", 3, False)], CALLS + ", verified boolean"),
-        hops=frame(spark, [(0, 0, "top", "cpp", "f"), (0, 1, "b", "asm", None)], "chain int, pos long, stem string, file_type string, function string"),
-        prefix=frame(spark, [(0, 0, 1, "up", "top→b")], "chain int, seq long, pos long, text string, via string"), upstream=frame(spark, [(0, "top", 10)], "chain int, stem string, bound long"),
-        cut_guards=frame(spark, [("d", 6)], "stem string, line long"), not_set=frame(spark, [(90, "c", 5, "V", "cpp", 1, "!(g)")], "id long, stem string, line long, variable string, language string, seq long, text string"),
-    )
-    got = trace.trace(given, "V", "b").setters.collect()
+def test_each_site_gives_a_path(traced):
+    assert sorted((r["guards"], r["chain_text"], r["unconditional"]) for r in of(traced, 0)) == [("g", "Aa::m > Ab::f", False), ("h && k", "Aa::m > Ab::f", False)]
+
+
+def test_routes_that_cant_be_are_dropped(traced):
+    assert [r["chain_text"] for r in of(traced, 1) if r["variable"] == "V"] == ["Ba::m > Ba::q > Bb::f"]
+    assert {(r["parent"], r["child"]) for r in traced[0].edges.where("chain = 1").collect()} == {("V", "mode"), ("mode", "deep")}
+    nodes, _ = trace.lineage_graph(traced[0], "V")
+    assert {(r["name"], r["role"], r["terminal"], r["truncated"]) for r in nodes.where("chain = 1").collect()} == {("V", "root", False, False), ("mode", "dependent", False, False), ("deep", "dependent", True, False)}
+
+
+def test_fallback_unverified_upstream_and_prefix(traced):
+    got = of(traced, 2)
     rows = {r["id"]: (r["variable"], r["path"], r["chain_text"], r["guards"], r["truncated"], r["via_unverified"], r["is_not_set"], r["depth"]) for r in got}
     assert rows == {
-        1: ("V", "b>c", "top::f > b > c", "up && g", False, False, False, 0), 2: ("V", "b>d", "top::f > b > d", "up && h", True, False, False, 0), 3: ("V", None, "top::f > b > e", "up", False, True, False, 0),
-        90: ("V", "b>c", "top::f > b > c", "up && g && !(g)", False, False, True, 0), 4: ("W", None, "top::f > b", None, False, False, False, 1),
+        1: ("V", "Cb>Cc", "Ctop::f > Cb > Cc", "up && g", False, False, False, 0), 2: ("V", "Cb>Cd", "Ctop::f > Cb > Cd", "up && h", True, False, False, 0), 3: ("V", None, "Ctop::f > Cb > Ce", "up", False, True, False, 0),
+        90: ("V", "Cb>Cc", "Ctop::f > Cb > Cc", "up && g && !(g)", False, False, True, 0), 4: ("W", None, "Ctop::f > Cb", None, False, False, False, 1),
     }
     assert {r["id"]: r["value"] for r in got}[90] == "[not set]"
     assert not any(r["unconditional"] for r in got if r["id"] in (1, 2, 3, 90))
 
 
-def test_equal_results_are_one(spark):
+def test_equal_results_are_one(traced):
     # the same files, guards and calls: the richest chain stays
-    calls = [("a::m", "a::p", 1), ("a::p", "b::f", 2), ("a::m", "b::f", 3)]
-    got = trace.trace(inputs(spark, calls, [(1, "b::f", 10, "V", "1", False)], [], []), "V", "a::m").setters.collect()
-    assert [(r["chain_text"], r["unconditional"]) for r in got] == [("a::m > a::p > b::f", True)]
+    assert [(r["chain_text"], r["unconditional"]) for r in of(traced, 3)] == [("Da::m > Da::p > Db::f", True)]
+    assert not traced[0].reached_depth
 
 
 def test_depth_is_flagged(spark):
@@ -105,7 +118,6 @@ def test_depth_is_flagged(spark):
     assert got.reached_depth
     assert [r["variable"] for r in got.truncated.collect()] == ["W"]
     assert {r["variable"] for r in got.setters.collect()} == {"V"}
-    assert not trace.trace(given, "V", "a").reached_depth
 
 
 def facts(spark):
@@ -118,7 +130,7 @@ def facts(spark):
 
 def test_whole_job(spark, tmp_path):
     given = inputs(spark, [("a", "b", 1)], [(1, "b", 1, "V", "X + K", False)], [], [(1, "X"), (1, "K"), (1, "SCRATCH1")])
-    done = job.run_lineage(spark, given, "V", {"cpp": ["a", "b"], "asm": ["a"]}, facts(spark), str(tmp_path), {"scratch_prefixes": ["scratch"], "input_msg_prefixes": [], "batch": 2})
+    done = job.run_lineage(spark, given, "V", {"cpp": ["a", "b"], "asm": ["a"]}, facts(spark), str(tmp_path), {"scratch_prefixes": ["scratch"], "input_msg_prefixes": []})
     assert (done["status"], done["chains_traced"], done["chain_errors"]) == ("success", 3, 0)
     assert done["terminals_by_class"] == {"external": 3, "constant": 3}
     assert [(r["name"], r["n"], r["kind"]) for r in done["missing_top"]] == [("zz99", 3, "module")]
@@ -179,3 +191,17 @@ def test_scopes(spark):
 def test_immediate_dominators():
     assert graph.immediate_dominators({1: [2, 3], 2: [4], 3: [4], 4: [5], 5: [4]}, {2: [1], 3: [1], 4: [2, 3, 5], 5: [4]}) == {1: None, 2: 1, 3: 1, 4: 1, 5: 4}
     assert graph.immediate_dominators({1: [3], 2: [3]}, {3: [1, 2]}) == {1: None, 2: None, 3: None}
+
+
+def test_trace_is_kept(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return inputs(spark, [("a", "b", 1)], [(1, "b", 1, "V", "1", False)], [], [])
+
+    first = trace.cached_trace(spark, "s", build, "V", ["a"], root=str(tmp_path))
+    again = trace.cached_trace(spark, "s", build, "V", ["a"], root=str(tmp_path))
+    assert [tuple(r) for r in first.setters.collect()] == [tuple(r) for r in again.setters.collect()]
+    assert len(built) == 1
+    assert cache.arguments_key({"salt": "s", "tails": ["a"]}) != cache.arguments_key({"salt": "t", "tails": ["a"]})

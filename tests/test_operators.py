@@ -178,13 +178,16 @@ def test_stretches_change_nothing(spark):
 def test_projections(spark):
     pairs = frame(spark, [("d/f.asm", "B1", 3, 4, "CLI", ["F", "1"], "BE", ["X"], None)], "file string, block string, trigger_line int, line int, test string, test_args array<string>, branch string, branch_args array<string>, taken boolean")
     row = projections.condition_summary(projections.pair_conditions(pairs)).first()
-    assert (row["condition"], row["polarity"], row["raw_test"], row["file"], row["line"]) == ("F != 1", False, "CLI F,1", "f.asm", 3)
+    assert (row["condition"], row["polarity"], row["raw_test"], row["file"], row["line"]) == ("F != 1", False, "CLI F, 1", "f.asm", 3)
     schema = "hop long, seq long, text string, test string, branch string, args array<string>, note string, block string"
     rows = [(1, 1, " a  == b ", None, None, None, None, None), (1, 2, None, "CLI F,1", "BE", ["X"], None, "x"), (1, 3, None, None, None, None, "skip", None)]
     assert [r["text"] for r in projections.hop_guards(frame(spark, rows, schema)).orderBy("seq").collect()] == ["a == b", "F == 1"]
     routes = frame(spark, [(1, 0, "a"), (1, 1, "b")], "route long, pos long, stem string")
     inner = frame(spark, [("b", 0, 2, "b::f > b::g"), ("b", 1, 1, "b::h")], "stem string, seq long, size long, path string")
     assert projections.label_routes(routes, inner).first()["route_text"] == "a > b::f > b::g"
+    entered = frame(spark, [(1, 0, "a", "a::m", "a::m"), (1, 1, "b", "b::f", "b::k")], "route long, pos long, stem string, entry string, leaving string")
+    between = frame(spark, [("b", "b::f", "b::k", 0, 2, "b::f > b::k"), ("b", "b::f", "b::z", 1, 9, "b::f > b::y > b::z")], "stem string, entry string, leaving string, seq long, size long, path string")
+    assert projections.label_routes(entered, between).first()["route_text"] == "a > b::f > b::k"
     one, two = frame(spark, [(1, "x")], "k long, v string"), frame(spark, [(1, "y"), (2, "z")], "k long, v string")
     assert {(r["k"], r["v"]) for r in projections.prefer(one, two, ["k"]).collect()} == {(1, "x"), (2, "z")}
     found = projections.triage(frame(spark, [("a",), ("b",), ("c",)], "stem string"), frame(spark, [("a",)], "stem string"), frame(spark, [("a",), ("b",)], "stem string"))
