@@ -322,3 +322,33 @@ def test_unlearned_language_is_far():
     known = ["the river and the town are old and the people of the town know it", "der fluss und die stadt sind alt und die leute in der stadt wissen es"]
     profiles = language_id.Profiles.of({str(i): language_id.ranking(*language_id.ngrams(t)).tolist() for i, t in enumerate(known)})
     assert profiles.identify("joki ja kaupunki ovat vanhoja ja kaupungin ihmiset tietävät sen")[1] < min(profiles.identify(t)[1] for t in known)
+
+
+# --- pipeline ---
+
+
+def test_pipeline_edges(spark, make_tables):
+    import corpus_pipeline
+
+    tables = {k: v for k, v in EDGES.items() if k != "labels"}  # without labels every document has quality 0.5
+    folder = make_tables(**tables)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = docs.select("doc_id", language_id.identify(F.col("text"), language_id.fit(docs)).alias("x")).select("doc_id", "x.*").collect()
+    stays = [r["doc_id"] for r in found if r["lang"] != "und" and r["score"] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    assert not {1, 2, 3, 10} & set(stays)
+    want = {i for i in stays if i is not None} - {5, 6}  # near copies of 4
+    want -= {9} if 8 in want else set()
+    want -= {4, 11}  # hold test items
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()]
+    assert sorted(str(i) for i in got) == sorted([str(i) for i in want] + ["None"] * stays.count(None))
+    assert {4, 5, 6, 11, 12} <= set(stays)
+    stage = dict(corpus_pipeline.STAGES)
+    for name, function in list(stage.items())[:-1]:
+        assert function(spark, docs, folder).columns == docs.columns, name
+
+
+def test_pipeline_of_nothing(spark, nothing):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, nothing).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert corpus_pipeline.run(spark, nothing).count() == 0
