@@ -356,8 +356,26 @@ LAYOUTS = """
 <html><body><div class=article><p>C</p></div><footer>N</footer></body></html>
 <html><body><section><p>C</p></section></body></html>
 <html><body><header><h1>N</h1></header><main><article><p>C</p></article></main><footer><p>P</p></footer></body></html>
+<html><head><title>N</title></head><body>C</body></html>
+<html><head><title>N</title></head><body>S</body></html>
+<html><head></head><body>C<br>C<p>C</p></body></html>
+<html><head><title>N</title></head><body><nav>[L ]</nav>C</body></html>
+<html><body><p>S</p></body></html>
+<html><body><article><p>S</p></article></body></html>
+<html><head><title>N</title></head><body><main>C</main></body></html>
+<html><body><nav>[L ]</nav><main>C<br><br>C</main><footer>N</footer></body></html>
+<html><body><article>C</article></body></html>
+<html><body><article>S</article></body></html>
+<html><body><nav>[L ]</nav><article><h1>H</h1>C</article><footer>N</footer></body></html>
+<html><body><section>C</section><footer>N</footer></body></html>
+<html><body><div class=content>C<br><br>C</div><div class=footer>N</div></body></html>
+<html><body><div>C</div></body></html>
+<html><body><nav>[L ]</nav><div>C</div></body></html>
+<div>C</div>
+<div>S</div>
 <article>C</article>
 <p>C</p>
+S
 <p>C</p>[<p>C</p>]
 <h1>H</h1>[<p>C</p>]
 <article><h1>H</h1>[<p>C</p>]</article>
@@ -482,6 +500,9 @@ class Composer:
                 self.block("h2", self.words(1, 8, True))
                 self.body_text(r.randint(1, 4))
                 self.close("section")
+        elif boxes and r.random() < 0.12:
+            for _ in range(r.randint(1, 3)):
+                self.out.append(self.words(3, 60, True) + r.choice(["", "<br>", "<br><br>"]))
         else:
             self.body_text(r.randint(1, 12))
         if boxes and r.random() < 0.15:
@@ -541,7 +562,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, set[int]]]:
 
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return train(labelled_pages(900))
+    return train(labelled_pages(1100))
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
