@@ -5,8 +5,8 @@ The lines of a conversation are observations, their roles hidden states. A line
 whether it opens the conversation. Markers may be absent or wrong: transitions and the other features decide as well.
 Viterbi finds the likeliest roles of all lines together; neighbouring lines of one role and message become one turn, whose
 marker is removed and whose rendering is canonical. Probabilities are counted on a bounded number of labelled messages of
-bounded length (MAX_TRAIN, MAX_TRAIN_CHARS, parameters; longer messages aren't learned from); roles are never inputs of a
-prediction.
+bounded length in conversations of bounded length (MAX_TRAIN, MAX_TRAIN_CHARS, MAX_TRAIN_CONVERSATION, parameters; longer
+ones aren't learned from); roles are never inputs of a prediction.
 
 A conversation may be larger than a task. Messages are range-partitioned by (conversation, turn, text), wherever that
 cuts. Viterbi's step is a product of matrices in the (max, +) semiring, which is associative: one pass gives for each
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from backtrail.llm.common import scratch_root
 
 MAX_TRAIN = 12_000
-MAX_TRAIN_CHARS = 4000
+MAX_TRAIN_CHARS, MAX_TRAIN_CONVERSATION = 4000, 1000
 #: Characters and messages of a partition, about.
 PART_CHARS, PART_MESSAGES = 16 << 20, 100_000
 ROLES = ("assistant", "system", "user")
@@ -150,11 +150,16 @@ def render(lines: list[tuple[str, bool]], states: list[int], roles: list[str]) -
     return len(turns), "".join(f"<|{role}|>\n{chr(10).join(text).strip()}\n<|end|>\n" for role, text in turns)
 
 
-def fit(conversations: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Hmm:
-    """Learn from labelled messages of conversations outside the held-out fold (remainder 2 of 4)."""
+def fit(conversations: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS, max_conversation: int = MAX_TRAIN_CONVERSATION) -> Hmm:
+    """Learn from labelled messages of conversations outside the held-out fold (remainder 2 of 4): all of them, or those of a
+    share of the conversations, by hashed id, that has about max_train messages. What comes to the driver doesn't grow."""
     known = conversations.where("conv_id is not null and role is not null").where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2)
-    known = known.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    rows = known.select("conv_id", "turn", "text", "role").orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "text").limit(max_train).collect()
+    known = known.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select("conv_id", "turn", "text", "role")
+    n, scale = known.count(), 1_000_000
+    if n > max_train:
+        known = known.where(F.pmod(F.xxhash64("conv_id"), F.lit(scale)) < scale * max_train // n)
+    short = known.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_conversation).select("conv_id")
+    rows = known.join(short, "conv_id", "left_semi").orderBy("conv_id", "turn", "text", "role").collect()
     return Hmm.fit([tuple(r) for r in rows])
 
 
